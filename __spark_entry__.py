@@ -57,9 +57,7 @@ CUSTOMERS = {
     "customer_metrics": lambda t: c.customer_metrics(t.transaction_headers),
     "customer_summary": lambda t: c.customer_summary(t.customers, t.transaction_headers),
     "customer_kmeans": lambda t: c.customer_kmeans(_rfm(t)),
-    "customer_value": lambda t: _rounded(
-        _rounded(c.customer_value(t.transaction_headers, AS_OF), 4, "average_order_value", "orders_per_year"),
-        2, "lifetime_value"),
+    "customer_value": lambda t: c.customer_value(t.transaction_headers, AS_OF),
 }
 
 # -- sales and loading ----------------------------------------------------------

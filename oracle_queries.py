@@ -10,7 +10,7 @@ AS_OF = "2001-08-01"
 STOCK_AS_OF = "2001-11-05"
 EARLIEST = "1995-01-01"
 KPI_DAYS = 365
-PRODUCT_ID = 77
+PRODUCT_ID = 34
 RULES = {"min_support": 0.005, "min_confidence": 0.05}
 CATEGORY_RULES = {"min_support": 0.02, "min_confidence": 0.3}
 ALL_DAYS = 3650
@@ -185,8 +185,8 @@ CUSTOMERS = {
                {_money('t.total_amount')} total_spent
         from customers c left join transactions t on c.customer_id = t.customer_id group by all"""),
     "customer_value": _with("transactions", """
-        select customer_id, round(aov, 4) average_order_value, round(orders * 365.0 / tenure, 4) orders_per_year,
-               round(aov * (orders * 365.0 / tenure) * ((select avg(tenure) from c) / 365.0), 2) lifetime_value
+        select customer_id, aov average_order_value, orders * 365.0 / tenure orders_per_year,
+               aov * (orders * 365.0 / tenure) * ((select avg(tenure) from c) / 365.0) lifetime_value
         from c""", c=f"""
         select customer_id, cast(count(*) as double) orders, {_money('total_amount')} / count(*) aov,
                greatest({_days(NOW, 'min(transaction_date)')}, 1) as tenure
@@ -437,6 +437,25 @@ _BOUGHT = """
     join products p on i.product_id = p.product_id"""
 _ONE = f"where l.product_id = {PRODUCT_ID}"
 
+# Rules over product names. No four names are ever frequent together here, so
+# itemsets of one to three names are all there are.
+_NAME_SET_CTES = {
+    "names": _NAMES,
+    "name_sets": """
+        select x w, 1 k, count(*) c from names group by 1
+        union all select concat(a.x, '|', b.x), 2, count(*) from names a join names b on a.t = b.t and a.x < b.x group by 1
+        union all select concat(a.x, '|', b.x, '|', c.x), 3, count(*)
+        from names a join names b on a.t = b.t and a.x < b.x join names c on b.t = c.t and b.x < c.x group by 1""",
+    "set_rules": """
+        select a.w antecedents, c.w consequents, a.c / cast(n as double) antecedent_support,
+               c.c / cast(n as double) consequent_support, u.c / cast(n as double) support,
+               u.c / cast(a.c as double) confidence, u.c * n / cast(a.c * c.c as double) lift
+        from name_sets u, (""" + _N + """), name_sets a join name_sets c on true
+        where u.k > 1 and u.c / cast(n as double) >= {min_support} and u.c / cast(a.c as double) >= {min_confidence}
+          and a.k + c.k = u.k
+          and list_sort(list_concat(string_split(a.w, '|'), string_split(c.w, '|'))) = string_split(u.w, '|')
+        """.format(**RULES)}
+
 # Every itemset of categories as a bit mask; a basket holds it if no bit is missing.
 _SET_CTES = {
     "bits": """select category, row_number() over (order by category) - 1 k
@@ -466,6 +485,10 @@ RECOMMEND = {
         select antecedents, consequents, round(antecedent_support, 8) antecedent_support,
                round(consequent_support, 8) consequent_support, round(support, 8) support,
                round(confidence, 8) confidence, round(lift, 8) lift from set_rules""", ALL_DAYS, **_SET_CTES),
+    "product_name_rules": _basket_query("""
+        select antecedents, consequents, round(antecedent_support, 8) antecedent_support,
+               round(consequent_support, 8) consequent_support, round(support, 8) support,
+               round(confidence, 8) confidence, round(lift, 8) lift from set_rules""", ALL_DAYS, **_NAME_SET_CTES),
     "rule_edges": _basket_query("""
         select source, unnest(string_split(consequents, '|')) target, round(lift, 8) "value"
         from (select unnest(string_split(antecedents, '|')) source, consequents, lift from set_rules)""",
@@ -606,7 +629,8 @@ _FORECAST_COLS = ", ".join(
 _ACCURACY = """
     select series_id, count(*) test_days, avg(abs(y - yhat)) mae, avg(abs((y - yhat) / nullif(y, 0))) * 100 mape,
            sqrt(avg((y - yhat) * (y - yhat))) rmse,
-           1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) r2
+           case when var_pop(y) > 0 then 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*))
+                when sum((y - yhat) * (y - yhat)) < 1e-18 then 1.0 else 0.0 end r2
     from forecast where part = 'test' group by 1"""
 _PATTERNS = """
     select series_id, 'yearly' pattern, cast(month(ds) as integer) "position", monthname(ds) "label", avg(yearly) v
@@ -656,11 +680,11 @@ FORECAST = {
         select series_id, unnest(list_filter([
             case when change > 1.1 then 'Consider increasing inventory levels'
                  when change < 0.9 then 'Consider reducing inventory levels' end,
-            case when week > 0.5 then 'Implement dynamic pricing based on weekly patterns' end,
+            case when week_std > 0.5 then 'Implement dynamic pricing based on weekly patterns' end,
             case when mape > 20 then 'Review and adjust forecasting model parameters' end],
             lambda x: x is not null)) advice
         from (select series_id, max_by(trend, ds) / min_by(trend, ds) change from forecast group by 1)
-             join (select series_id, stddev_samp(v) week from ({_PATTERNS}) where pattern = 'weekly' group by 1)
+             join (select series_id, stddev_samp(v) week_std from ({_PATTERNS}) where pattern = 'weekly' group by 1)
                   using (series_id)
              join ({_ACCURACY}) using (series_id)""", *_MULTI),
 }

@@ -259,7 +259,9 @@ def forecast_accuracy(forecast: DataFrame) -> DataFrame:
     actual = F.when(tested, F.col("y"))
     error = F.when(tested, F.col("y") - F.col("yhat"))
     measures = _metrics(error, actual)
-    measures["r2"] = 1 - F.try_divide(F.sum(error * error), F.var_pop(actual) * F.count(actual))
+    missed, spread = F.sum(error * error), F.var_pop(actual) * F.count(actual)
+    # Equal test values: 1 for a perfect forecast of them, otherwise 0.
+    measures["r2"] = F.when(spread > 0, 1 - missed / spread).when(missed < 1e-18, 1.0).otherwise(0.0)
     enough = F.count(actual) >= 3
     return forecast.groupBy("series_id").agg(
         F.count(actual).alias("test_days"),
@@ -290,11 +292,13 @@ def forecast_error_summary(errors: DataFrame) -> DataFrame:
 def seasonal_patterns(forecast: DataFrame) -> DataFrame:
     """``(series_id, pattern, position, label, value)``: the yearly effect per
     month, the weekly one per weekday from Sunday, the monthly one per day."""
+    slot = lambda name, position, label: F.struct(
+        F.lit(name).alias("pattern"), position.alias("position"), label.alias("label"),
+        F.col(name).alias("value"))
     slots = F.array(
-        F.struct(F.lit("yearly").alias("pattern"), F.month("ds").alias("position"),
-                 F.date_format("ds", "MMMM").alias("label"), F.col("yearly").alias("value")),
-        F.struct(F.lit("weekly"), F.dayofweek("ds"), F.date_format("ds", "EEEE"), F.col("weekly")),
-        F.struct(F.lit("monthly"), F.dayofmonth("ds"), F.dayofmonth("ds").cast("string"), F.col("monthly")))
+        slot("yearly", F.month("ds"), F.date_format("ds", "MMMM")),
+        slot("weekly", F.dayofweek("ds"), F.date_format("ds", "EEEE")),
+        slot("monthly", F.dayofmonth("ds"), F.dayofmonth("ds").cast("string")))
     return (
         forecast.where(F.col("part") != "short").select("series_id", "seasons", F.inline(slots))
         .where(F.array_contains("seasons", F.col("pattern")))
