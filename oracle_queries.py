@@ -446,14 +446,17 @@ _NAME_SET_CTES = {
         union all select concat(a.x, '|', b.x), 2, count(*) from names a join names b on a.t = b.t and a.x < b.x group by 1
         union all select concat(a.x, '|', b.x, '|', c.x), 3, count(*)
         from names a join names b on a.t = b.t and a.x < b.x join names c on b.t = c.t and b.x < c.x group by 1""",
+    "frequent": """
+        select string_split(w, '|') l, w, k, c, n from name_sets, (""" + _N + """)
+        where c / cast(n as double) >= {min_support}""".format(**RULES),
     "set_rules": """
-        select a.w antecedents, c.w consequents, a.c / cast(n as double) antecedent_support,
-               c.c / cast(n as double) consequent_support, u.c / cast(n as double) support,
-               u.c / cast(a.c as double) confidence, u.c * n / cast(a.c * c.c as double) lift
-        from name_sets u, (""" + _N + """), name_sets a join name_sets c on true
-        where u.k > 1 and u.c / cast(n as double) >= {min_support} and u.c / cast(a.c as double) >= {min_confidence}
-          and a.k + c.k = u.k
-          and list_sort(list_concat(string_split(a.w, '|'), string_split(c.w, '|'))) = string_split(u.w, '|')
+        select a.w antecedents, c.w consequents, a.c / cast(u.n as double) antecedent_support,
+               c.c / cast(u.n as double) consequent_support, u.c / cast(u.n as double) support,
+               u.c / cast(a.c as double) confidence, u.c * u.n / cast(a.c * c.c as double) lift
+        from (select * from frequent where k > 1) u join frequent a on list_has_all(u.l, a.l) and a.k < u.k
+             join frequent c on list_has_all(u.l, c.l) and c.k = u.k - a.k
+        where u.c / cast(a.c as double) >= {min_confidence}
+          and list_sort(list_concat(a.l, c.l)) = u.l
         """.format(**RULES)}
 
 # Every itemset of categories as a bit mask; a basket holds it if no bit is missing.

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.plans.pairs import item_pairs, mirrored, partners_of
+from tillwise.plans.pairs import item_pairs, mirrored, partners_of, top_partners
 from tillwise.plans.quantiles import exact_quantiles
 from tillwise.plans.ranking import top_per_key
 from tillwise.plans.running import running_total
@@ -113,6 +113,39 @@ def test_partners_equal_the_pairs_of_one_item(spark):
     assert sorted(map(tuple, every.select("b", "together").collect())) == sorted(map(tuple, one.collect()))
 
 
+def _overlapping(seed):
+    """Ten large groups that share items, over many small ones."""
+    rng = random.Random(seed)
+    rows = {(f"g{rng.randrange(80)}", rng.randrange(70)) for _ in range(250)}
+    for number in range(10):
+        rows |= {(f"hot{number}", i) for i in rng.sample(range(100), 25 + 4 * number)}
+    return sorted(rows | {("all", i) for i in range(0, 100, 2)})
+
+
+@pytest.mark.parametrize("seed,k,hot_items", [(1, 3, 12), (2, 1, 12), (3, 10, 12), (4, 5, 40), (5, 4, 10_000), (6, 120, 12)])
+def test_top_partners_with_hot_groups(spark, seed, k, hot_items):
+    data = _overlapping(seed)
+    pairs = _brute_pairs(data)
+    expected = {}
+    for (a, b), count in pairs.items():
+        expected.setdefault(a, []).append((-count, b))
+        expected.setdefault(b, []).append((-count, a))
+    expected = {a: [(b, -c) for c, b in sorted(found)[:k]] for a, found in expected.items()}
+    got = {}
+    df = spark.createDataFrame(data, "g string, i long")
+    for r in top_partners(df, "g", "i", k, hot_items=hot_items, block=9).collect():
+        got.setdefault(r["a"], []).append((r["b"], r["together"]))
+    assert {a: sorted(found, key=lambda x: (-x[1], x[0])) for a, found in got.items()} == expected
+
+
+def test_a_hot_group_is_not_expanded(spark):
+    """4,000 items in one group would be 8 million pairs; k + 1 each are made."""
+    df = spark.range(4_000).select(F.lit("walk-in").alias("g"), F.col("id").alias("i"))
+    got = top_partners(df, "g", "i", 3, hot_items=1_000)
+    assert got.count() == 12_000
+    assert {r["b"] for r in got.where("a = 2").collect()} == {0, 1, 3}
+
+
 def test_top_per_key_breaks_ties(spark):
     df = spark.createDataFrame([("k", 3, 1), ("k", 1, 1), ("k", 2, 1), ("k", 9, 0)], "a string, b int, s int")
     got = top_per_key(df, "a", 2, F.col("s").desc(), F.col("b"))

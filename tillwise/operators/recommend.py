@@ -9,7 +9,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import days_before, exact
 from ..plans.durable import written_once
-from ..plans.pairs import item_pairs, mirrored, partners_of
+from ..plans.pairs import item_pairs, mirrored, partners_of, top_partners
 from ..plans.ranking import top_per_key
 
 
@@ -244,11 +244,6 @@ def _best(partners: DataFrame, product_id: int, k: int) -> DataFrame:
     )
 
 
-def _best_of_all(rows: DataFrame, group: str, k: int) -> DataFrame:
-    pairs = mirrored(item_pairs(rows, group, "product_id").select("a", "b", "together"))
-    return top_per_key(pairs, "a", k, F.col("together").desc(), F.col("b"))
-
-
 def _recent_rows(items: DataFrame, transactions: DataFrame, products: DataFrame, as_of, days_back: int):
     return (
         items.select("transaction_id", "product_id")
@@ -269,7 +264,7 @@ def bought_together_all(items: DataFrame, transactions: DataFrame, products: Dat
                         k: int = 5, days_back: int = 90) -> DataFrame:
     """``bought_together`` for every product in one job."""
     rows = _recent_rows(items, transactions, products, as_of, days_back)
-    return _described(_best_of_all(rows, "transaction_id", k), products, "related", "co_purchase_count")
+    return _described(top_partners(rows, "transaction_id", "product_id", k), products, "related", "co_purchase_count")
 
 
 def _customer_products(items: DataFrame, transactions: DataFrame, products: DataFrame) -> DataFrame:
@@ -293,7 +288,7 @@ def shared_customers_all(items: DataFrame, transactions: DataFrame, products: Da
                          k: int = 10) -> DataFrame:
     """``shared_customers`` for every product in one job."""
     rows = _customer_products(items, transactions, products)
-    return _described(_best_of_all(rows, "customer_id", k), products, "similar", "common_customers")
+    return _described(top_partners(rows, "customer_id", "product_id", k), products, "similar", "common_customers")
 
 
 # -- categories and advice -------------------------------------------------------

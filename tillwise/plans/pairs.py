@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import top_per_key
+
 # Items of one group that meet in one cell. A larger group is cut into blocks,
 # and every two of its blocks are a cell of their own.
 BLOCK = 256
+# Groups with more items than this can be too large for pairs; how many of them
+# are treated apart.
+HOT_ITEMS = 4096
+HOT_GROUPS = 8
 
 
 def item_pairs(df: DataFrame, group: str, item: str, weight: str | None = None, *,
@@ -15,17 +21,31 @@ def item_pairs(df: DataFrame, group: str, item: str, weight: str | None = None,
     """``(a, b, together, dot)`` for items ``a < b`` sharing at least one group.
 
     ``together`` counts the groups, ``dot`` sums the product of the weights.
-    ``df`` holds a (group, item) at most once. Every pair that meets is in the
-    result, so work follows the result; pairs are summed in the task that makes
-    them, before the shuffle. A group with very many items is spread over as many
-    join keys as it has pairs of blocks: no task receives more than two blocks
-    of it.
+    ``df`` holds a (group, item) at most once. Every pair that meets is a row of
+    the result, so work follows the result; pairs are summed in the task that
+    makes them, before the shuffle.
     """
     amount = F.col(weight) if weight else F.lit(1)
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), amount.alias("w"))
+    met = _meetings(df, group, item, amount, block)
+    return met.groupBy(*_ordered()).agg(
+        F.count(F.lit(1)).alias("together"), F.sum(F.col("wx") * F.col("wy")).alias("dot"))
+
+
+def _ordered():
+    return F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+
+
+def _meetings(df: DataFrame, group: str, item: str, extra: Column, block: int) -> DataFrame:
+    """``(x, y, wx, wy)`` once for every group in which two items meet.
+
+    A group with very many items is spread over as many join keys as it has
+    pairs of blocks: no task receives more than two blocks of it.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(
+        F.col(group).alias("g"), F.col(item).alias("i"), extra.alias("w"))
     large = (rows.groupBy("g").count().where(F.col("count") > block)
              .select("g", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    rows = (rows.where("g is not null").join(large, "g", "left")
+    rows = (rows.join(large, "g", "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")))
     left = rows.select("g", F.col("own").alias("lo"),
@@ -33,11 +53,52 @@ def item_pairs(df: DataFrame, group: str, item: str, weight: str | None = None,
                        F.col("i").alias("x"), F.col("w").alias("wx"))
     right = rows.select("g", F.explode(F.sequence(F.lit(0), "own")).alias("lo"),
                         F.col("own").alias("hi"), F.col("i").alias("y"), F.col("w").alias("wy"))
-    met = left.join(right, ["g", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
-    return (
-        met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.count(F.lit(1)).alias("together"), F.sum(F.col("wx") * F.col("wy")).alias("dot"))
+    return left.join(right, ["g", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+
+
+def top_partners(df: DataFrame, group: str, item: str, k: int, *, hot_items: int = HOT_ITEMS,
+                 block: int = BLOCK) -> DataFrame:
+    """``(a, b, together)``: for every item the ``k`` others it shares most groups
+    with, smaller ids first among equals.
+
+    The result is small, so a huge group (an anonymous customer, say) must not be
+    expanded into its pairs. The largest groups with more than ``hot_items`` items,
+    at most eight, are kept as a bit set per item instead: two items share as many
+    of them as their bit sets have in common. All items with equal bit sets have
+    the same best partners by that number, so ``k + 1`` of them per bit set are
+    enough: whoever is not among them is beaten by ``k`` that are, also after
+    the other groups, which can only add, are counted. Exact for any data.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"))
+    hot = (
+        rows.groupBy("g").count().where(F.col("count") > hot_items)
+        .orderBy(F.col("count").desc(), "g").limit(HOT_GROUPS)
+        .select("g", (F.row_number().over(Window.orderBy(F.col("count").desc(), "g")) - 1).alias("bit"))
     )
+    # At most HOT_GROUPS rows.
+    hot = F.broadcast(hot)
+    bit = F.call_function("shiftleft", F.lit(1), F.col("bit"))
+    sets = rows.join(hot, "g").groupBy("i").agg(F.bit_or(bit).alias("bits"))
+
+    # At most 2^HOT_GROUPS bit sets with k + 1 items each.
+    members = top_per_key(sets, "bits", k + 1, F.col("i"))
+    bits_of = F.explode(F.filter(F.sequence(F.lit(0), F.lit(HOT_GROUPS - 1)), lambda n: F.col("bits").bitwiseAND(
+        F.call_function("shiftleft", F.lit(1), n)) != 0)).alias("bit")
+    ask = members.select("bits").distinct().select("bits", bits_of)
+    offer = members.select(F.col("i").alias("y"), F.col("bits").alias("y_bits"), F.col("bits"), bits_of).drop("bits")
+    best = top_per_key(
+        ask.join(offer, "bit").select("bits", "y", "y_bits").distinct(), "bits", k + 1,
+        F.bit_count(F.col("bits").bitwiseAND(F.col("y_bits"))).desc(), F.col("y"))
+    from_hot = sets.withColumnRenamed("i", "x").join(F.broadcast(best), "bits").where("x != y").select(
+        "x", "y", F.lit(0).alias("one"), F.col("bits").alias("wx"), F.col("y_bits").alias("wy"))
+
+    others = rows.join(hot, "g", "left_anti").join(sets, "i", "left").withColumn(
+        "bits", F.coalesce("bits", F.lit(0)))
+    from_others = _meetings(others, "g", "i", F.col("bits"), block).select(
+        "x", "y", F.lit(1).alias("one"), "wx", "wy")
+    pairs = from_others.unionByName(from_hot).groupBy(*_ordered()).agg(
+        (F.sum("one") + F.max(F.bit_count(F.col("wx").bitwiseAND(F.col("wy"))))).alias("together"))
+    return top_per_key(mirrored(pairs), "a", k, F.col("together").desc(), F.col("b"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
