@@ -12,8 +12,6 @@ from ..functions.scalars import exact
 # Most ranges a table is cut into, and sampled keys for each of them.
 MAX_RANGES = 1024
 SAMPLES_PER_RANGE = 64
-# Boundaries compared in the first of the two look-up steps.
-STRIDE = 32
 
 
 def running_total(df: DataFrame, value: str, order: Sequence[Column], *,
@@ -41,31 +39,25 @@ def running_total(df: DataFrame, value: str, order: Sequence[Column], *,
     edges = (
         sample.withColumn("tile", F.ntile(ranges).over(Window.orderBy("_key")))
         .groupBy("tile").agg(F.min("_key").alias("edge"))
-        .agg(F.sort_array(F.collect_list("edge")).alias("fine"))
-    )
-    blocks = F.floor((F.size("fine") + (STRIDE - 1)) / STRIDE).cast("int")
-    edges = edges.select(F.struct(
-        F.filter("fine", lambda _, i: i % STRIDE == 0).alias("coarse"),
-        F.transform(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))),
-                    lambda i: F.slice("fine", i * STRIDE + 1, STRIDE)).alias("blocks"),
-    ).alias("edges"))
-
-    at_or_before = lambda bounds: F.size(F.filter(bounds, lambda edge: edge <= F.col("_key")))
-    block = F.col("_block") - 1
-    keyed = (
-        keyed.withColumn("_edges", edges.scalar())
-        .withColumn("_block", at_or_before(F.col("_edges.coarse")))
-        .withColumn("_range", F.when(block < 0, 0).otherwise(
-            block * STRIDE + at_or_before(F.get(F.col("_edges.blocks"), block))))
-        .drop("_edges", "_block")
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
+    # The range of a row is the number of edges at or before its key, found by
+    # halving. Plain expressions stay in generated code, where the edges are one
+    # shared object; a lambda over them would copy them into every row.
+    keyed = keyed.withColumn("_edges", edges.scalar()).withColumn("_range", F.lit(0))
+    for step in (1 << n for n in reversed(range(ranges.bit_length()))):
+        here = F.col("_range")
+        keyed = keyed.withColumn("_range", F.when(
+            F.get("_edges", here + (step - 1)) <= F.col("_key"), here + step).otherwise(here))
+    keyed = keyed.drop("_edges")
 
     # At most `ranges` + 1 rows, whatever the table holds: safe to broadcast.
     sums = keyed.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
 
-    inside = (Window.partitionBy("_range").orderBy("_key")
+    # Ordered by the key's parts: numbers sort faster than a struct of them.
+    inside = (Window.partitionBy("_range").orderBy(*[F.col(f"_key.k{i}") for i in range(len(order))])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         keyed.join(F.broadcast(offsets), "_range")

@@ -51,9 +51,13 @@ class RetailTables:
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._directory = directory
+        self._opened: dict[str, DataFrame] = {}
 
     def _raw(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        """A stored table, opened once: opening it again reads its footer again."""
+        if name not in self._opened:
+            self._opened[name] = self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self._opened[name]
 
     @cached_property
     def _nations(self) -> DataFrame:
