@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exact, exact_sum, timestamp
+from ..functions.scalars import days_before, exact, exact_sum, timestamp
 
 
 def extract_transactions(transactions: DataFrame, customers: DataFrame, stores: DataFrame,
@@ -72,9 +72,11 @@ def kpis(transactions: DataFrame, items: DataFrame, inventory: DataFrame, end, d
     """
     last_day = F.to_date(timestamp(end))
     age = F.datediff(last_day, F.to_date("transaction_date"))
+    when, day_after = F.col("transaction_date"), F.date_add(last_day, 1).cast("timestamp_ntz")
     # Period 0 is the current one; period 2 only serves the previous retention.
+    # The bounds are on the stored column, so the scan can skip row groups.
     periods = (
-        transactions.where((age >= 0) & (age < 3 * days))
+        transactions.where((when >= days_before(day_after, 3 * days)) & (when < day_after))
         .select("transaction_id", "customer_id", "total_amount",
                 F.floor(age / days).cast("int").alias("period"))
     )

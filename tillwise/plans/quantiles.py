@@ -54,7 +54,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                  F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
         .count()
     )
-    by_value = Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first())
+    by_value = (Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first())
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counted.withColumn("upto", F.sum("count").over(by_value))
     low, high = F.floor("wanted"), F.ceil("wanted")
     values = ranked.groupBy("target", "wanted").agg(
