@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -31,18 +31,19 @@ def basket_lines(items: DataFrame, transactions: DataFrame, products: DataFrame,
 
 # -- association rules -------------------------------------------------------
 
-def _baskets_and_frequent(baskets: DataFrame, item: str, min_support: float):
-    """Distinct (basket, item) rows of the frequent items, with the number of
-    baskets. An itemset is frequent only if each of its items is, so the rest can
-    go before anything is joined or gathered."""
-    rows = baskets.select(F.col("transaction_id").alias("basket"), F.col(item).alias("item")).distinct()
-    n = baskets.select(F.countDistinct("transaction_id").alias("n")).scalar()
-    frequent = (
+def _basket_items(baskets: DataFrame, item: str) -> DataFrame:
+    return baskets.select(F.col("transaction_id").alias("basket"), F.col(item).alias("item")).distinct()
+
+
+def _frequent(rows: DataFrame, n: Column, min_support: float) -> DataFrame:
+    """``(item, support_count, n)`` of the frequent items. An itemset is frequent
+    only if each of its items is, so the rest can go before anything is joined
+    or gathered."""
+    return (
         rows.groupBy("item").agg(F.count(F.lit(1)).alias("support_count"))
         .withColumn("n", n)
         .where(F.col("support_count") / F.col("n") >= min_support)
     )
-    return rows, frequent
 
 
 def pair_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5,
@@ -52,7 +53,8 @@ def pair_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: fl
     Infrequent items are dropped first, which bounds a basket by the number of
     frequent items: at most the mean basket size over ``min_support``.
     """
-    rows, frequent = _baskets_and_frequent(baskets, item, min_support)
+    rows = _basket_items(baskets, item)
+    frequent = _frequent(rows, rows.select(F.countDistinct("basket").alias("n")).scalar(), min_support)
     kept = rows.join(frequent.select("item"), "item", "left_semi")
     both = mirrored(item_pairs(kept, "basket", "item").select("a", "b", "together"))
     support_of = lambda name: frequent.select(
@@ -79,12 +81,14 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01,
     most (mean basket size / ``min_support``) items. Mining runs when called; its
     result is written once, as the rules read it three times.
     """
-    rows, frequent = _baskets_and_frequent(baskets, item, min_support)
+    rows = _basket_items(baskets, item)
+    n = rows.select(F.countDistinct("basket")).first()[0]
+    frequent = _frequent(rows, F.lit(n), min_support)
     arrays = rows.join(frequent.select("item"), "item", "left_semi").groupBy("basket").agg(
         F.collect_list("item").alias("items"))
     kept = arrays.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, filled = baskets.agg(F.countDistinct("transaction_id")).first()[0], kept.count()
+        filled = kept.count()
         if not filled:
             return baskets.sparkSession.createDataFrame([], "items array<string>, freq bigint, n bigint")
         # Baskets without frequent items are gone, so the threshold is restated
@@ -191,7 +195,7 @@ def category_correlation(baskets: DataFrame) -> DataFrame:
     number. The result is the full matrix: both orders and the diagonal.
     """
     counts = _line_counts(baskets, "category")
-    baskets_seen = baskets.select(F.countDistinct("transaction_id").cast("double").alias("n"))
+    baskets_seen = counts.select(F.countDistinct("transaction_id").cast("double").alias("n"))
     moments = counts.groupBy("category").agg(
         F.sum("lines").cast("double").alias("s"), F.sum(F.col("lines") * F.col("lines")).cast("double").alias("q"))
     # Every two categories are a row of the result. Each left row is sent to all
