@@ -12,7 +12,7 @@ from .ranking import top_per_key
 BLOCK = 256
 # Groups with more items than this can be too large for pairs; how many of them
 # are treated apart.
-HOT_ITEMS = 4096
+HOT_ITEMS = 1000
 HOT_GROUPS = 8
 
 
@@ -67,7 +67,8 @@ def top_partners(df: DataFrame, group: str, item: str, k: int, *, hot_items: int
     of them as their bit sets have in common. All items with equal bit sets have
     the same best partners by that number, so ``k + 1`` of them per bit set are
     enough: whoever is not among them is beaten by ``k`` that are, also after
-    the other groups, which can only add, are counted. Exact for any data.
+    the other groups, which can only add, are counted. Exact for any data; large
+    groups beyond the eight are spread over their blocks like in ``item_pairs``.
     """
     rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"))
     hot = (

@@ -143,7 +143,7 @@ class RetailTables:
             F.col("l_orderkey").alias("transaction_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"),
             F.col("l_extendedprice").alias("total_price"),
         )
 
