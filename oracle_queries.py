@@ -370,7 +370,7 @@ INVENTORY = {
         select inventory_id, store_id, product_id, product_name, quantity, reorder_point,
                reorder_point - quantity shortfall from ({SNAPSHOT}) where quantity <= reorder_point"""),
     "product_metrics": _with("inventory products", f"""
-        select product_id, {_money('stock_value')} stock_value, round(avg(turnover_rate), 6) turnover_rate
+        select product_id, {_money('stock_value')} stock_value, round(cast(sum(cast(turnover_rate as decimal(28,10))) as double) / count(turnover_rate), 6) turnover_rate
         from ({TRANSFORMED}) group by 1"""),
 }
 

@@ -43,7 +43,10 @@ def load_customer_metrics(transactions: DataFrame, path: str) -> None:
 
 
 def product_metrics(transformed_inventory: DataFrame) -> DataFrame:
-    """Stock value and turnover per product, from the transformed stock rows."""
+    """Stock value and mean turnover per product, from the transformed stock rows.
+
+    Both are summed as decimals, so the order of addition does not matter."""
     return transformed_inventory.groupBy("product_id").agg(
         F.sum(F.col("stock_value").cast("decimal(18,4)")).cast("double").alias("stock_value"),
-        F.avg("turnover_rate").alias("turnover_rate"))
+        F.try_divide(F.sum(F.col("turnover_rate").cast("decimal(28,10)")).cast("double"),
+                     F.count("turnover_rate")).alias("turnover_rate"))
