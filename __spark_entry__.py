@@ -219,16 +219,31 @@ def _over_tables(job: Callable[[RetailTables], DataFrame]) -> Query:
     return lambda spark, sf_dir: _days_as_timestamps(job(RetailTables(spark, sf_dir)))
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries over text corpora with their SQL, where those modules are there."""
+    try:
+        from tillwise.llm.queries import ORACLES as sql, QUERIES as found
+        import corpus_pipeline
+    except ModuleNotFoundError as error:
+        if (error.name or "").startswith(("tillwise.llm", "corpus_pipeline")):
+            return {}, {}
+        raise
+    sql = dict(sql)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**found, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, sf_dir) and returns a lazy frame."""
     found = {name: _over_tables(job) for name, job in _BY_TABLES.items()}
     found["load_customer_metrics"] = lambda spark, sf_dir: _loaded_twice(RetailTables(spark, sf_dir), spark)
-    return found
+    return {**found, **_corpus()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every query that SQL can express exactly."""
-    return dict(ORACLES)
+    return {**ORACLES, **_corpus()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:

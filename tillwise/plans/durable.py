@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,28 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     On a cluster it has to be set, and to shared storage. A local session
-    without one gets a temporary folder of its own.
+    without one gets a temporary folder, the same one for the whole session.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    used = context._jsc.sc().getCheckpointDir()
-    return used.get() if used.isDefined() else tempfile.mkdtemp(prefix="tillwise-")
+    folder = tempfile.mkdtemp(prefix="tillwise-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def written_once(df: DataFrame) -> DataFrame:
-    """``df`` computed now and written to the shared folder, without lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tillwise-{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written_once(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` computed now, written to the shared folder and read from there."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
