@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm.exact_dedup import exact_dedup
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.mixing import mixture
+from tillwise.llm.toxicity import Lexicon, learn_lexicon, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def toxic_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Lexicon:
+    """Learned from labelled documents outside the held-out quarter."""
+    return learn_lexicon(docs, _table(spark, sf_dir, "labels").filter(_remainder(4) != 2))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, toxic_lexicon(spark, docs, sf_dir)).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digests=True)
 
@@ -29,7 +46,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_mixing, op5_jaccard_join)}
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op5_jaccard_join)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
