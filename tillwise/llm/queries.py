@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.llm.decontamination import contamination
 from tillwise.llm.exact_dedup import exact_dedup
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.mixing import mixture
@@ -45,8 +46,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op5_jaccard_join)}
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op5_jaccard_join,
+                           op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""

@@ -16,8 +16,10 @@ import pyarrow as pa
 #: Texts are scanned in runs of about so many bytes, which bounds the scratch arrays.
 CHUNK_BYTES = 1 << 21
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All of ASCII but letters and digits.
+SPACE_OR_SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -76,18 +78,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def scan_words(column: pa.Array) -> Iterator[Words]:
-    """The words of every text, in chunks of whole texts."""
+def scan_words(column: pa.Array, between: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of every text, in chunks of whole texts. ``between`` marks the bytes
+    that end a word: white space, or ``SPACE_OR_SIGN``."""
     at, data = string_buffers(column)
     first, n = 0, len(at) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1)
-        yield _scan(first, at[first:last + 1] - at[first], data[at[first]:at[last]])
+        yield _scan(first, at[first:last + 1] - at[first], data[at[first]:at[last]], between)
         first = last
 
 
-def _scan(first: int, at: np.ndarray, data: np.ndarray) -> Words:
-    word = ~_SPACE[data]
+def _scan(first: int, at: np.ndarray, data: np.ndarray, between: np.ndarray) -> Words:
+    word = ~between[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     finishes = word.copy()
