@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], n
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
-    found = [w for w in scan_words(pa.array(texts, pa.large_string()), SPACE_OR_SIGN)]
+    found = [w for w in scan_words(pc.utf8_lower(pa.array(texts, pa.large_string())), SPACE_OR_SIGN)]
     return [x for w in found for x in np.split(w.hashes, w.offsets[1:-1])]
 
 
@@ -141,7 +142,7 @@ def _hits(index: Index, column: pa.Array, threshold: float, question: float, ans
     step = max(8, index.longest // 2)
     size = index.longest + step  # every run of words as long as an item lies in a passage
     margin = threshold - 1e-9
-    for found in scan_words(column, SPACE_OR_SIGN):
+    for found in scan_words(pc.utf8_lower(column), SPACE_OR_SIGN):
         at = found.offsets
         some = np.flatnonzero(index.lookup[found.hashes >> np.uint64(64 - _LOOKUP_BITS)])
         term = np.minimum(np.searchsorted(index.terms, found.hashes[some]), len(index.terms) - 1)
@@ -241,7 +242,7 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.6, que
     row per document and item found in it: doc_id, item_id, score, question_overlap,
     answer_overlap, first_word (of the best passage, from 0).
 
-    Words are runs of letters, digits and characters beyond ASCII, lower-cased in A-Z.
+    Words are runs of letters, digits and characters beyond ASCII, lower-cased.
     Items of fewer than ``min_words`` words are not looked for: a few common words prove
     nothing. Null and empty texts contain nothing; a null item_id is left out. Rows with
     the same doc_id are searched each. Other columns are not read.
