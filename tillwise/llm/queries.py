@@ -12,6 +12,7 @@ from tillwise.llm.decontamination import contamination
 from tillwise.llm.exact_dedup import exact_dedup
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.mixing import mixture
+from tillwise.llm.pii import KINDS, labelled_lines, personal_data, train
 from tillwise.llm.secrets import joined, secrets
 from tillwise.llm.toxicity import Lexicon, learn_lexicon, toxicity
 from tillwise.llm.warc import read_warc, with_record_types, write_warc
@@ -56,6 +57,19 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"), train(labelled_lines()))
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(written("base"), 256).alias("base_sha256"),
+                        written("spans").alias("spans"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
@@ -74,7 +88,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc, op5_jaccard_join, op7_secrets, op9_chat,
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc, op5_jaccard_join, op6_pii, op7_secrets, op9_chat,
                            op10_decontamination)}
 
 ORACLES: dict[str, str] = {
