@@ -56,6 +56,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
                           .otherwise(level).alias("target"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return written_once(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
+def _with_copies(rows: DataFrame, sized: DataFrame, weights: Sequence[int], share: float, most: int, seed: int) -> DataFrame:
+    """``rows`` with their source's size and target, and copies. The targets are written
+    first: read back, their size is known and decides whether they are broadcast."""
+    targets = written_once(source_targets(sized, weights, share, most).select(
+        F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), "targets")
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    return rows.join(targets, rows["source"].eqNullSafe(targets["_of"])).withColumn(
+        "_copies", whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long"))
+
+
 def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2,
             seed: int = 0) -> DataFrame:
     """``docs`` (doc_id, text, source) -> one row per document: doc_id, source, size,
@@ -69,28 +84,16 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     without words has the rate 0. Rows with the same doc_id are copied alike. Null is a
     source of its own. Columns beside the three are not read.
     """
-    sized = written_once(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return (sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
-            .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
-            .withColumn("taken", F.col("copies") * F.col("size")))
-
-
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the mix takes it: the columns of ``docs`` and
-    ``copy``, counted from 0. Options are those of ``mixture``.
-
-    The rate of a source is joined to the documents; their texts are not shuffled
-    while the targets are small enough to be broadcast.
-    """
-    plan = mixture(docs, **options).groupBy("source").agg(
-        F.first("target").alias("target"), F.first("source_size").alias("of_size"))
-    rate = F.when(F.col("p.of_size") > 0, F.col("p.target") / F.col("p.of_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + (uniform(F.col("d.doc_id"), options.get("seed", 0)) < rate - whole).cast("long")
-    joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    return (joined.select("d.*", copies.alias("copies")).filter("copies > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("copies"))
+    sized = _sized(docs)
+    return _with_copies(sized, sized, weights, share, most, seed).select(
+        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        F.col("_copies").alias("copies"), (F.col("_copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2,
+               seed: int = 0) -> DataFrame:
+    """Every document as often as ``mixture`` takes it: the columns of ``docs``, and
+    ``copy``, counted from 0, in place of any column of that name."""
+    columns = [c for c in docs.columns if c != "copy"]
+    copied = _with_copies(docs.select(*columns), _sized(docs), weights, share, most, seed).filter("_copies > 0")
+    return copied.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias("copy"))

@@ -19,3 +19,12 @@ def positions(keys: DataFrame) -> DataFrame:
     ``POSITIONS`` and so safe to broadcast. A semi-join with it keeps every row
     whose key is among ``keys`` and few others; it never decides alone."""
     return keys.select(position(*[F.col(c) for c in keys.columns]).alias("position")).distinct()
+
+
+def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts by the one column of ``ids``, of the same name: rows whose id
+    is certainly not among them, which need no shuffle, and the others, few of which are
+    not. Together they are all rows. Null is an id."""
+    at = positions(ids).withColumnRenamed("position", "_position")
+    key = position(F.col(ids.columns[0])) == F.col("_position")
+    return docs.join(F.broadcast(at), key, "left_anti"), docs.join(F.broadcast(at), key, "left_semi")
