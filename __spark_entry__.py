@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle_queries import (
-    ALL_DAYS, AS_OF, CATEGORY_RULES, EARLIEST, KPI_DAYS, ORACLES, PERIODS, PRODUCT_ID, RULES, STOCK_AS_OF,
+    ALL_DAYS, AS_OF, CATEGORY_RULES, INSIGHT, KPI_DAYS, ORACLES, PERIODS, PRODUCT_ID, RULES, STOCK_AS_OF,
 )
 from tillwise.operators import customers as c
 from tillwise.operators import forecast as f
@@ -63,7 +63,7 @@ CUSTOMERS = {
 # -- sales and loading ----------------------------------------------------------
 
 def _extracted(t: RetailTables) -> DataFrame:
-    return s.extract_transactions(t.transactions, t.customers, t.stores, t.staff, EARLIEST, AS_OF)
+    return s.extract_transactions(t.transactions, t.customers, t.stores, t.staff, None, AS_OF)
 
 
 SALES = {
@@ -76,7 +76,7 @@ SALES = {
     "kpis": lambda t: _rounded(s.kpis(t.transaction_headers, t.items, t.inventory, AS_OF, KPI_DAYS),
                                6, "value", "previous", "change"),
     "store_performance": lambda t: _rounded(
-        s.store_performance(t.transactions, t.stores, EARLIEST, AS_OF), 6, "performance"),
+        s.store_performance(t.transactions, t.stores, None, AS_OF), 6, "performance"),
     "extract_bundle": lambda t: l.bundle_sizes(l.extract_bundle(t, STOCK_AS_OF)),
 }
 
@@ -127,7 +127,7 @@ INVENTORY = {
 
 # -- recommendations ------------------------------------------------------------------
 
-def _baskets(t: RetailTables, days: int = 90) -> DataFrame:
+def _baskets(t: RetailTables, days: int | None = 90) -> DataFrame:
     return r.basket_lines(t.items, t.transaction_headers, t.products, AS_OF, days)
 
 
@@ -168,9 +168,10 @@ RECOMMEND = {
     "category_performance": lambda t: r.category_performance(
         t.items, t.transaction_headers, t.products, AS_OF),
     "recommendation_insights": lambda t: r.recommendation_insights(
-        _pair_rules(t), r.category_correlation(_baskets(t, ALL_DAYS))),
+        _category_rules(t), r.category_correlation(_baskets(t, ALL_DAYS)), **INSIGHT),
     "recommendation_strategies": lambda t: _rounded(r.recommendation_strategies(
-        _category_rules(t), r.category_correlation(_baskets(t, ALL_DAYS))), 8, "score"),
+        _category_rules(t), r.category_correlation(_baskets(t, ALL_DAYS)), min_lift=INSIGHT["min_lift"],
+        min_score=INSIGHT["min_score"]), 8, "score"),
 }
 
 # -- forecasts --------------------------------------------------------------------------

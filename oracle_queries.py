@@ -8,12 +8,13 @@ from __future__ import annotations
 
 AS_OF = "2001-08-01"
 STOCK_AS_OF = "2001-11-05"
-EARLIEST = "1995-01-01"
 KPI_DAYS = 365
 PRODUCT_ID = 34
 RULES = {"min_support": 0.005, "min_confidence": 0.05}
 CATEGORY_RULES = {"min_support": 0.02, "min_confidence": 0.3}
-ALL_DAYS = 3650
+ALL_DAYS = None
+INSIGHT = {"min_lift": 1.0, "min_confidence": 0.3, "min_score": -0.5}
+STORE_ID = 7
 
 ROLES = {
     "customers": """
@@ -44,7 +45,7 @@ ROLES = {
                l_extendedprice/l_quantity unit_price, l_extendedprice total_price
         from lineitem""",
     "inventory": """
-        select cast(s_nationkey as bigint)*1000000+l_partkey inventory_id, s_nationkey store_id,
+        select cast(s_nationkey as bigint)*1099511627776+l_partkey inventory_id, s_nationkey store_id,
                l_partkey product_id, cast(sum(l_quantity) as int)%201 quantity, max(l_shipdate) last_restocked
         from lineitem join supplier on l_suppkey=s_suppkey group by s_nationkey, l_partkey""",
 }
@@ -201,7 +202,7 @@ EXTRACTED = """
            s.store_id, s.name store_name, f.staff_id, f.first_name staff_first_name, f.last_name staff_last_name
     from transactions t left join customers c on t.customer_id = c.customer_id
          left join stores s on t.store_id = s.store_id left join staff f on t.staff_id = f.staff_id
-    where transaction_date between timestamp '{0}' and timestamp '{1}'"""
+    where transaction_date <= timestamp '{0}'"""
 
 LINES = """
     select t.transaction_id, t.transaction_date, t.customer_id, t.store_id, t.total_amount, i.product_id, i.quantity,
@@ -231,11 +232,11 @@ def _kpi(name: str, value) -> str:
 
 
 SALES = {
-    "extract_transactions": _with("transactions customers stores staff", EXTRACTED.format(EARLIEST, AS_OF)),
+    "extract_transactions": _with("transactions customers stores staff", EXTRACTED.format(AS_OF)),
     "calendar_features": _with("transactions customers stores staff", f"""
         select *, dayname(transaction_date) day_of_week, monthname(transaction_date) "month",
                cast(hour(transaction_date) as integer) "hour"
-        from ({EXTRACTED.format(EARLIEST, AS_OF)})"""),
+        from ({EXTRACTED.format(AS_OF)})"""),
     "transaction_lines": _with("transactions items", LINES),
     "product_catalog": _with("products", "select * from products"),
     "product_list": _with("products", "select product_id, name, category from products"),
@@ -257,7 +258,7 @@ SALES = {
         from (select s.store_id, s.name store_name, s.state, coalesce({_money('t.total_amount')}, 0.0) sales,
                      count(t.transaction_id) orders
               from stores s left join transactions t on s.store_id = t.store_id
-                   and transaction_date between timestamp '{EARLIEST}' and {NOW}
+                   and transaction_date <= {NOW}
               group by all)"""),
     "extract_bundle": _with("transactions items inventory products customers", f"""
         select 'transaction_data' "name", count(*) "rows" from ({LINES})
@@ -382,10 +383,10 @@ def _baskets(days: int) -> str:
         select t.transaction_id, i.product_id, p.name product_name, p.category
         from transactions t join items i on t.transaction_id = i.transaction_id
              join products p on i.product_id = p.product_id
-        where t.transaction_date >= {NOW} - interval {days} day"""
+        {f"where t.transaction_date >= {NOW} - interval {days} day" if days is not None else ""}"""
 
 
-def _basket_query(body: str, days: int = 90, **ctes: str) -> str:
+def _basket_query(body: str, days: int | None = 90, **ctes: str) -> str:
     return _with("transactions items products", body, baskets=_baskets(days), **ctes)
 
 
@@ -416,7 +417,8 @@ _CORR_CTES = {
              left join baskets b on b.transaction_id = t and b.category = c group by all""",
     "corr_pairs": """
         select l.c a, r.c b, corr(cast(l.n as double), cast(r.n as double)) score
-        from cells l join cells r on l.t = r.t group by all"""}
+        from cells l join cells r on l.t = r.t group by all
+        having l.c = r.c or sum(l.n * r.n) > 0"""}
 
 _DESCRIBED = """
     select a product_id, pa.name product_name, pa.category, b {0}_product_id, pb.name {0}_product_name,
@@ -527,17 +529,17 @@ RECOMMEND = {
                     ' strong product associations for cross-selling') end rule_insight,
                case when strong_category_pairs > 0 then concat('Identified ', strong_category_pairs,
                     ' strong category relationships') end category_insight
-        from (select (select count(*) from rules where lift > 2 and confidence > 0.7) strong_rules,
-                     (select count(*) from corr_pairs where a < b and score > 0.5) strong_category_pairs)""",
-                                             ALL_DAYS, **_RULE_CTES, **_CORR_CTES),
+        from (select (select count(*) from set_rules where lift > {min_lift} and confidence > {min_confidence}) strong_rules,
+                     (select count(*) from corr_pairs where a < b and score > {min_score}) strong_category_pairs)
+        """.format(**INSIGHT), ALL_DAYS, **_SET_CTES, **_CORR_CTES),
     "recommendation_strategies": _basket_query("""
         select * from (select 'Cross-selling' type, 'Bundle frequently co-purchased products' description,
-               antecedents a, consequents b, round(lift, 8) score from set_rules where lift > 2
+               replace(antecedents, '|', ', ') a, replace(consequents, '|', ', ') b, round(lift, 8) score from set_rules where lift > {min_lift}
                order by lift desc, a, b limit 5)
         union all
         select * from (select 'Category-based', 'Promote complementary categories together', a, b, round(score, 8)
-               from corr_pairs where a < b and score > 0.5 order by score desc, a, b limit 5)""",
-                                               ALL_DAYS, **_SET_CTES, **_CORR_CTES),
+               from corr_pairs where a < b and score > {min_score} order by score desc, a, b limit 5)
+        """.format(**INSIGHT), ALL_DAYS, **_SET_CTES, **_CORR_CTES),
 }
 
 # -- forecasts ---------------------------------------------------------------------------

@@ -13,13 +13,15 @@ from ..plans.pairs import item_pairs, mirrored, partners_of, top_partners
 from ..plans.ranking import top_per_key
 
 
-def _recent(transactions: DataFrame, as_of, days_back: int, *columns: str) -> DataFrame:
-    return transactions.where(F.col("transaction_date") >= days_before(as_of, days_back)).select(
-        "transaction_id", *columns)
+def _recent(transactions: DataFrame, as_of, days_back: int | None, *columns: str) -> DataFrame:
+    """Transactions of the last ``days_back`` days; of all time if that is None."""
+    if days_back is not None:
+        transactions = transactions.where(F.col("transaction_date") >= days_before(as_of, days_back))
+    return transactions.select("transaction_id", *columns)
 
 
 def basket_lines(items: DataFrame, transactions: DataFrame, products: DataFrame, as_of,
-                 days_back: int = 90) -> DataFrame:
+                 days_back: int | None = 90) -> DataFrame:
     """Lines of the recent transactions with product name and category."""
     return (
         items.select("transaction_id", "product_id")
@@ -184,35 +186,26 @@ def similar_to(baskets: DataFrame, product_id: int, n: int = 5) -> DataFrame:
     )
 
 
-# Join keys over which the correlation matrix is spread.
-MATRIX_BLOCKS = 16
-
-
 def category_correlation(baskets: DataFrame) -> DataFrame:
     """Pearson correlation of the categories' line counts per transaction.
 
     Transactions without a category count as 0, which only enters through their
-    number. The result is the full matrix: both orders and the diagonal.
+    number. Rows are the categories that meet in some transaction, in both orders,
+    and the diagonal. Two that never meet have no row; their correlation is below 0.
     """
     counts = _line_counts(baskets, "category")
     baskets_seen = counts.select(F.countDistinct("transaction_id").cast("double").alias("n"))
     moments = counts.groupBy("category").agg(
         F.sum("lines").cast("double").alias("s"), F.sum(F.col("lines") * F.col("lines")).cast("double").alias("q"))
-    # Every two categories are a row of the result. Each left row is sent to all
-    # blocks, each right row to one.
-    left = moments.select(
-        F.col("category").alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa"),
-        baskets_seen.scalar().alias("n"),
-        F.explode(F.sequence(F.lit(0), F.lit(MATRIX_BLOCKS - 1))).alias("block"))
-    right = moments.select(
-        F.col("category").alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"),
-        F.pmod(F.hash("category"), F.lit(MATRIX_BLOCKS)).alias("block"))
-    shared = mirrored(item_pairs(counts, "transaction_id", "category", "lines").select("a", "b", "dot"))
-    dot = F.when(F.col("a") == F.col("b"), F.col("qa")).otherwise(F.coalesce("dot", F.lit(0)))
-    n = F.col("n")
+    side = lambda key: moments.select(
+        F.col("category").alias(key), F.col("s").alias(f"s{key}"), F.col("q").alias(f"q{key}"))
+    met = mirrored(item_pairs(counts, "transaction_id", "category", "lines").select("a", "b", "dot"))
+    itself = moments.select(F.col("category").alias("a"), F.col("category").alias("b"), F.col("q").alias("dot"))
+    n, dot = F.col("n"), F.col("dot")
     spread = lambda s, q: n * F.col(q) - F.col(s) * F.col(s)
     return (
-        left.join(right, "block").join(shared, ["a", "b"], "left")
+        met.unionByName(itself).join(side("a"), "a").join(side("b"), "b")
+        .withColumn("n", baskets_seen.scalar())
         .select("a", "b", F.try_divide(
             n * dot - F.col("sa") * F.col("sb"),
             F.sqrt(spread("sa", "qa") * spread("sb", "qb"))).alias("score"))
@@ -314,20 +307,22 @@ def category_performance(items: DataFrame, transactions: DataFrame, products: Da
     )
 
 
-def _strong_pairs(correlation: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _strong_pairs(correlation: DataFrame, threshold: float) -> DataFrame:
     return correlation.where((F.col("a") < F.col("b")) & (F.col("score") > threshold))
 
 
-def recommendation_insights(rules: DataFrame, correlation: DataFrame) -> DataFrame:
+def recommendation_insights(rules: DataFrame, correlation: DataFrame, min_lift: float = 2.0,
+                            min_confidence: float = 0.7, min_score: float = 0.5) -> DataFrame:
     """Number of strong rules and of strong category pairs, with their texts
-    (null when there are none). A pair counts once, the diagonal not at all."""
-    strong = rules.where((F.col("lift") > 2) & (F.col("confidence") > 0.7)).agg(
+    (null when there are none). Rules have any number of items. A pair counts
+    once, the diagonal not at all."""
+    strong = rules.where((F.col("lift") > min_lift) & (F.col("confidence") > min_confidence)).agg(
         F.count(F.lit(1)).alias("strong_rules"))
     text = lambda count, template: F.when(F.col(count) > 0, F.format_string(template, F.col(count)))
     # The two message texts.
     return (
         strong.withColumn("strong_category_pairs",
-                          _strong_pairs(correlation).agg(F.count(F.lit(1)).alias("n")).scalar())
+                          _strong_pairs(correlation, min_score).agg(F.count(F.lit(1)).alias("n")).scalar())
         .withColumn("rule_insight", text(
             "strong_rules", "Found %d strong product associations for cross-selling"))
         .withColumn("category_insight", text(
@@ -335,11 +330,13 @@ def recommendation_insights(rules: DataFrame, correlation: DataFrame) -> DataFra
     )
 
 
-def recommendation_strategies(rules: DataFrame, correlation: DataFrame, k: int = 5) -> DataFrame:
-    """The first ``k`` rules with lift over 2 and category pairs over 0.5."""
+def recommendation_strategies(rules: DataFrame, correlation: DataFrame, k: int = 5, min_lift: float = 2.0,
+                              min_score: float = 0.5) -> DataFrame:
+    """The first ``k`` rules with a lift over ``min_lift`` and category pairs over
+    ``min_score``."""
     # The two strategy names and descriptions.
     cross = (
-        rules.where(F.col("lift") > 2)
+        rules.where(F.col("lift") > min_lift)
         .select(F.lit("Cross-selling").alias("type"),
                 F.lit("Bundle frequently co-purchased products").alias("description"),
                 F.array_join("antecedents", ", ").alias("a"), F.array_join("consequents", ", ").alias("b"),
@@ -347,7 +344,7 @@ def recommendation_strategies(rules: DataFrame, correlation: DataFrame, k: int =
         .orderBy(F.col("score").desc(), "a", "b").limit(k)
     )
     category = (
-        _strong_pairs(correlation)
+        _strong_pairs(correlation, min_score)
         .select(F.lit("Category-based").alias("type"),
                 F.lit("Promote complementary categories together").alias("description"),
                 "a", "b", "score")

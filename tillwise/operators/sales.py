@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.scalars import days_before, exact, exact_sum, timestamp
 
 
+def _between(start, end) -> Column:
+    """Whether a transaction lies in a range whose ends are included; None is open."""
+    when, inside = F.col("transaction_date"), F.lit(True)
+    if start is not None:
+        inside = inside & (when >= timestamp(start))
+    return inside if end is None else inside & (when <= timestamp(end))
+
+
 def extract_transactions(transactions: DataFrame, customers: DataFrame, stores: DataFrame,
                          staff: DataFrame, start, end) -> DataFrame:
-    """Transactions from ``start`` to ``end`` (both included) with the names of
-    customer, store and staff; those without one keep nulls."""
+    """Transactions from ``start`` to ``end`` (both included, None for no bound) with
+    the names of customer, store and staff; those without one keep nulls."""
     person = lambda df, key, prefix: df.select(
         F.col(key).alias(f"_{key}"), F.col("first_name").alias(f"{prefix}first_name"),
         F.col("last_name").alias(f"{prefix}last_name"))
     shops = stores.select(F.col("store_id").alias("_store_id"), F.col("name").alias("store_name"))
     return (
-        transactions.where(F.col("transaction_date").between(timestamp(start), timestamp(end)))
+        transactions.where(_between(start, end))
         .join(person(customers, "customer_id", ""), F.col("customer_id") == F.col("_customer_id"), "left")
         .join(shops, F.col("store_id") == F.col("_store_id"), "left")
         .join(person(staff, "staff_id", "staff_"), F.col("staff_id") == F.col("_staff_id"), "left")
@@ -38,13 +46,13 @@ def calendar_features(extracted: DataFrame) -> DataFrame:
     })
 
 
-def transaction_lines(transactions: DataFrame, items: DataFrame, newest_first: bool = True) -> DataFrame:
+def transaction_lines(transactions: DataFrame, items: DataFrame, newest_first: bool = False) -> DataFrame:
     """Lines with the head of their transaction. Sorting a large result costs a
     range shuffle; ask for it only where the order is used."""
     lines = transactions.select(
         "transaction_id", "transaction_date", "customer_id", "store_id", "total_amount",
     ).join(items.select("transaction_id", "product_id", "quantity", "unit_price"), "transaction_id")
-    return lines.orderBy(F.col("transaction_date").desc()) if newest_first else lines
+    return lines.orderBy(F.col("transaction_date").desc(), "transaction_id", "product_id") if newest_first else lines
 
 
 def product_catalog(products: DataFrame) -> DataFrame:
@@ -119,10 +127,11 @@ def kpis(transactions: DataFrame, items: DataFrame, inventory: DataFrame, end, d
 
 
 def store_performance(transactions: DataFrame, stores: DataFrame, start, end) -> DataFrame:
-    """Sales, transactions and their mean for every store in a date range;
-    ``performance`` is a store's sales over the mean of all stores."""
+    """Sales, transactions and their mean for every store in a date range (None for
+    no bound); ``performance`` is a store's sales over the mean of the stores. Sales
+    of no known store are in neither."""
     sold = (
-        transactions.where(F.col("transaction_date").between(timestamp(start), timestamp(end)))
+        transactions.where(_between(start, end))
         .groupBy("store_id").agg(exact_sum("total_amount").alias("sales"),
                                  F.count("transaction_id").alias("orders"))
     )
@@ -130,6 +139,6 @@ def store_performance(transactions: DataFrame, stores: DataFrame, start, end) ->
         "store_id", F.col("name").alias("store_name"), "state",
         F.coalesce("sales", F.lit(0.0)).alias("sales"),
         F.coalesce("orders", F.lit(0).cast("long")).alias("orders"))
-    mean = sold.agg(exact_sum("sales")).scalar() / stores.agg(F.count(F.lit(1))).scalar()
+    mean = rows.agg((exact_sum("sales") / F.count(F.lit(1))).alias("mean")).scalar()
     return rows.withColumn("average_sale", F.try_divide(F.col("sales"), F.col("orders"))).withColumn(
         "performance", F.try_divide(F.col("sales"), mean))

@@ -1,9 +1,10 @@
 """Exact quantiles of large columns without gathering them in one task.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer;
-over all customers that buffer is the table. Here a mergeable sketch first
-brackets each wanted rank, then only the narrow bracket around it is counted
-value by value. The sketch decides how much is counted, never the answer.
+over all customers that buffer is the table. Here the values of all columns are
+counted, and a running total over the counts gives every value its rank. The
+running total is cut into ranges, so no task sorts a column, and there is one
+way for every size.
 """
 
 from __future__ import annotations
@@ -13,89 +14,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-# Ranks kept on each side of the wanted one, in units of the sketch's error.
-SLACK = 5.0
+from .running import running_total
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """One row ``(<column>_q array<double>, <column>_few boolean, ...)``.
 
     Quantiles interpolate linearly between the two nearest ranks. ``_few`` says
-    that a column has fewer than four distinct values: with four or more, the
-    second smallest value lies below the second largest. Nulls are not allowed
-    in the columns.
+    that a column has fewer than four distinct values. Nulls are not allowed in
+    the columns; of an empty table the quantiles are null.
     """
     columns, probabilities = list(columns), list(probabilities)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    # The sketch is attached once as a column: every further mention of a
-    # subquery would be planned again.
-    rows = rows.withColumn("_sketch", _brackets(rows, columns, probabilities).scalar())
-    sketch = F.col("_sketch")
-
-    # A bracket must be wider than a few ranks; a small table is counted whole.
-    small = sketch["n"] <= ACCURACY
-    targets = [
-        F.struct(
-            F.lit(i * len(probabilities) + j).alias("target"),
-            (F.lit(float(p)) * (sketch["n"] - 1)).alias("wanted"),
-            F.col(c).alias("value"),
-            F.when(small, sketch[f"{c}_min"]).otherwise(sketch[f"{c}_edges"][2 * j]).alias("low"),
-            F.when(small, sketch[f"{c}_max"]).otherwise(sketch[f"{c}_edges"][2 * j + 1]).alias("high"),
-        )
-        for i, c in enumerate(columns) for j, p in enumerate(probabilities)
-    ]
-    # Values under a bracket only need counting: they share the null key, which
-    # sorts first. Values over it are dropped before the shuffle.
-    counted = (
-        rows.select(F.inline(F.array(*targets)))
-        .where("value <= high")
-        .groupBy("target", "wanted",
-                 F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .count()
-    )
-    by_value = (Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first())
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("upto", F.sum("count").over(by_value))
-    low, high = F.floor("wanted"), F.ceil("wanted")
-    values = ranked.groupBy("target", "wanted").agg(
-        F.min(F.when(F.col("upto") > low, F.col("value"))).alias("v0"),
-        F.min(F.when(F.col("upto") > high, F.col("value"))).alias("v1"),
-        F.max(F.when(F.col("value").isNull(), F.col("upto"))).alias("under"),
-    )
-    missed = F.col("v0").isNull() | F.col("v1").isNull() | (F.coalesce("under", F.lit(0)) > low)
-    quantile = F.when(
-        missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double"),
-    ).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("wanted") - low))
-    found = values.select("target", quantile.alias("quantile")).agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "quantile"))).alias("q"))
-
-    inner = rows.agg(*[
-        bound for c in columns for bound in (
-            F.min(F.when(F.col(c) > sketch[f"{c}_min"], F.col(c))).alias(f"{c}_second"),
-            F.max(F.when(F.col(c) < sketch[f"{c}_max"], F.col(c))).alias(f"{c}_last_but_one"),
-        )
-    ])
-    return inner.withColumn("_found", found.scalar()).select(*[
-        out for i, c in enumerate(columns) for out in (
-            F.array(*[F.col("_found")[F.lit(i * len(probabilities) + j)]
-                      for j in range(len(probabilities))]).alias(f"{c}_q"),
-            F.coalesce(F.col(f"{c}_second") >= F.col(f"{c}_last_but_one"), F.lit(True))
-            .alias(f"{c}_few"),
-        )
-    ])
-
-
-def _brackets(rows: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """One struct: row count, smallest and largest value, and for every wanted
-    quantile a lower and an upper value certain to enclose it."""
-    reach = SLACK / ACCURACY
-    asked = [p for q in probabilities for p in (max(0.0, q - reach), min(1.0, q + reach))]
-    fields = [F.count(F.lit(1)).alias("n")]
-    for c in columns:
-        fields += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
-                   F.percentile_approx(c, asked, ACCURACY).alias(f"{c}_edges")]
-    return rows.agg(*fields).select(F.struct("*").alias("sketch"))
+    values = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value"))
+                       for i, c in enumerate(columns)])
+    counted = df.select(F.inline(values)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    ranked = running_total(counted, "rows", [F.col("column"), F.col("value")])
+
+    # One row per column.
+    sizes = counted.groupBy("column").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("distinct"))
+    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = F.broadcast(sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    upto = F.col("running") - F.col("before")
+    wanted = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    found = ranked.join(sizes, "column").groupBy("column", "n", "distinct").agg(*[
+        F.min(F.when(upto > rank, F.col("value"))).alias(f"{name}{j}")
+        for j, w in enumerate(wanted) for name, rank in (("low", F.floor(w)), ("high", F.ceil(w)))])
+    between = F.array(*[
+        F.col(f"low{j}") + (F.col(f"high{j}") - F.col(f"low{j}")) * (w - F.floor(w)) for j, w in enumerate(wanted)])
+    each = found.select("column", "distinct", between.alias("quantiles"))
+    mine = lambda i, value: F.max(F.when(F.col("column") == i, F.col(value)))
+    return each.agg(*[out for i, c in enumerate(columns) for out in (
+        mine(i, "quantiles").alias(f"{c}_q"),
+        (F.coalesce(mine(i, "distinct"), F.lit(0)) < 4).alias(f"{c}_few"))])
 
 
 def quartile_score(value: Column, edges: Column, few: Column, *, descending: bool = False) -> Column:

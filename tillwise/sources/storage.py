@@ -23,13 +23,11 @@ def read_database(spark: SparkSession, url: str, table: str, *, key: str, low: i
 def write_by_month(transactions: DataFrame, path: str) -> None:
     """Transactions laid out by month, so that a date range prunes directories.
 
-    Rows are spread over months *and* a hash of the id: one busy month does not
-    end up in one task.
+    Adaptive execution measures the months and splits or joins them to files of
+    its advisory size, so a busy month is not one task and a small one few files.
     """
     month = F.date_format("transaction_date", "yyyy-MM")
-    (transactions.withColumn("month", month)
-     .withColumn("_slot", F.pmod(F.xxhash64("transaction_id"), F.lit(64)))
-     .repartition("month", "_slot").drop("_slot")
+    (transactions.withColumn("month", month).hint("rebalance", "month")
      .write.mode("overwrite").partitionBy("month").parquet(path))
 
 

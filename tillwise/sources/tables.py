@@ -162,7 +162,7 @@ class RetailTables:
             .groupBy("s_nationkey", "l_partkey")
             .agg(F.sum("units").alias("units"), F.max("shipped").alias("last_restocked"))
             .select(
-                (F.col("s_nationkey").cast("long") * 1000000 + F.col("l_partkey"))
+                (F.col("s_nationkey").cast("long") * (1 << 40) + F.col("l_partkey"))
                 .alias("inventory_id"),
                 F.col("s_nationkey").alias("store_id"),
                 F.col("l_partkey").alias("product_id"),
