@@ -28,20 +28,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.sketch import position, positions
+from tillwise.llm.sketch import position, positions, split_by_id
 from tillwise.llm.textscan import mix, scan_words
 from tillwise.plans.components import components
 from tillwise.plans.durable import written_once
 
-#: Texts with more characters than this in all get more token partitions.
-CHARS_PER_PART = 6_000_000
+#: Characters and tokens for which there is one more part of all tokens.
+CHARS_PER_PART, TOKENS_PER_PART = 6_000_000, 1_000_000
 #: Sets and bytes of sets that a block of a cluster holds, about.
 BLOCK_SETS, BLOCK_BYTES = 256, 16 << 20
 #: Counters of the frequency sketch; it orders tokens and never decides a link.
 SKETCH_BITS = 18
 
-_SCANNED = "part int, doc_id long, n long, fp long, fp2 long, tokens binary, owners binary, sets binary"
-_COUNTED = "doc_id long, n long, fp long, fp2 long, shared long"
+#: Documents whose tokens are dealt out together; 16 bits number them.
+_RUN = 8192
+_SCANNED = "part int, run long, doc_id long, n long, fp long, fp2 long, place int, tokens binary, owners binary"
+_COUNTED = "run long, doc_id long, n long, fp long, fp2 long, place int, shared long"
 
 
 def _factors(n: int) -> np.ndarray:
@@ -76,63 +78,84 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(mix(pair + np.uint64(len(tokens))).view(np.int64).tolist())
 
 
-def _ids(column: pa.Array) -> pa.Array:
-    return column.cast(pa.int64())
+def _dealt(ids: pa.Array, sets: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each set's id, size and fingerprint, and all tokens dealt out by their hash. A
+    token says which set it is from by the run of sets and a place in it; equal sets
+    in a run share a place."""
+    schema = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
+                        ("fp", pa.int64()), ("fp2", pa.int64()), ("place", pa.int32()), ("tokens", pa.binary()),
+                        ("owners", pa.binary())])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+    first, place = np.unique(prints[:, 0], return_index=True, return_inverse=True)[1:]
+    run = int(np.bitwise_xor.reduce(mix(prints[:, 0].view(np.uint64) + np.arange(len(sets), dtype=np.uint64))
+                                    ).view(np.int64)) if len(sets) else 0
+    yield pa.RecordBatch.from_arrays(
+        [pa.array((place % parts).astype(np.int32)), pa.array(np.full(len(sets), run)), ids, pa.array(sizes),
+         pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(place.astype(np.int32)),
+         *[pa.nulls(len(sets), pa.binary())] * 2], schema=schema)
+    tokens = np.concatenate([sets[i] for i in first]) if sets else np.zeros(0, np.uint64)
+    if not len(tokens):
+        return
+    owner = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
+    part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, low_bits, owner = part[order], tokens[order].astype(np.uint32), owner[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+    none, pairs = pa.nulls(len(edges) - 1, pa.int64()), list(zip(edges, edges[1:]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(part[edges[:-1]]), pa.array(np.full(len(pairs), run)), none, none, none, none, none.cast(pa.int32()),
+         pa.array([low_bits[a:b].tobytes() for a, b in pairs], pa.binary()),
+         pa.array([owner[a:b].tobytes() for a, b in pairs], pa.binary())], schema=schema)
+
+
+def _scan_texts(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, _RUN):
+            some = batch.slice(low, _RUN)
+            yield from _dealt(some.column(0), list(shingle_sets(some.column(1), words)), parts)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Each document's size and fingerprint, and all tokens dealt out by their hash."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()),
-                        ("fp2", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
+def _scan_sets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 8192):
-            some = batch.slice(low, 8192)
-            sets = list(shingle_sets(some.column(1), words))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((prints[:, 0] % parts).astype(np.int32)), _ids(some.column(0)), pa.array(sizes),
-                 pa.array(prints[:, 0]), pa.array(prints[:, 1]), *[pa.nulls(len(sets), pa.binary())] * 3], schema=schema)
-            tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            if not len(tokens):
-                continue
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-            part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, low_bits, owner = part[order], tokens[order].astype(np.uint32), owner[order]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-            known = prints[:, 0].tobytes()
-            none = pa.nulls(len(edges) - 1, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[edges[:-1]]), none, none, none, none,
-                 pa.array([low_bits[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-                 pa.array([owner[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-                 pa.array([known] * (len(edges) - 1), pa.binary())], schema=schema)
+        for low in range(0, batch.num_rows, _RUN):
+            some = batch.slice(low, _RUN)
+            yield from _dealt(some.column(0), [np.frombuffer(x, np.uint64) for x in some.column(1).to_pylist()], parts)
+
+
+def _with_counts(scanned: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All sets that were dealt, and those of them with enough tokens dealt by others
+    that a link is possible."""
+    counted = written_once(scanned.groupBy("part").applyInArrow(_count_shared, _COUNTED), "shingles")
+    members = counted.filter("n is not null").select("run", "place", "doc_id", "n", "fp", "fp2")
+    shared = counted.filter("shared is not null").groupBy("run", "place").agg(F.sum("shared").alias("shared"))
+    return members, members.join(shared, ["run", "place"]).filter(
+        F.col("shared") >= F.ceil(F.lit(percent) * F.col("n") / 100))
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
     """Of one part: its documents as they came, and for each set how many of its
-    tokens in this part occur in another set too."""
-    docs = table.filter(pc.is_valid(table["n"])).select(["doc_id", "n", "fp", "fp2"])
+    tokens in this part were dealt by another set too."""
+    docs = table.filter(pc.is_valid(table["n"])).select(["run", "doc_id", "n", "fp", "fp2", "place"])
     docs = docs.append_column("shared", pa.nulls(len(docs), pa.int64()))
-    tokens, sets = [], []
-    for row in zip(*(table[c].to_pylist() for c in ("tokens", "owners", "sets"))):
-        if row[0] is not None:
-            tokens.append(np.frombuffer(row[0], np.uint32))
-            sets.append(np.frombuffer(row[2], np.int64)[np.frombuffer(row[1], np.uint16)])
-    if not tokens:
+    dealt = table.filter(pc.is_valid(table["tokens"]))
+    if not len(dealt):
         return docs
-    token, which = np.concatenate(tokens), np.unique(np.concatenate(sets), return_inverse=True)
-    # Equal sets bring a token once.
-    key = np.unique((token.astype(np.uint64) << np.uint64(32)) | which[1].astype(np.uint64))
-    token = key >> np.uint64(32)
-    same = np.zeros(len(key), bool)
+    tokens = [np.frombuffer(x, np.uint32) for x in dealt["tokens"].to_pylist()]
+    runs, at = np.unique(np.asarray(dealt["run"].combine_chunks()), return_inverse=True)
+    owner = np.concatenate([np.frombuffer(x, np.uint16) for x in dealt["owners"].to_pylist()]).astype(np.int64)
+    owner += np.repeat(at * _RUN, [len(x) for x in tokens])
+    token = np.concatenate(tokens)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    same = np.zeros(len(token), bool)
     same[1:] = token[1:] == token[:-1]
     same[:-1] |= same[1:]
-    shared = np.bincount((key[same] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(which[0]))
+    shared = np.bincount(owner[same], minlength=1)
     some = np.flatnonzero(shared)
     none = pa.nulls(len(some), pa.int64())
-    counted = pa.table([none, none, pa.array(which[0][some]), none, pa.array(shared[some])], schema=docs.schema)
+    counted = pa.table([pa.array(runs[some // _RUN]), none, none, none, none, pa.array((some % _RUN).astype(np.int32)),
+                        pa.array(shared[some])], schema=docs.schema)
     return pa.concat_tables([docs, counted])
 
 
@@ -250,21 +273,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 64 + chars // CHARS_PER_PART
-    scanned = docs.mapInArrow(partial(_scan, words=words, parts=parts), _SCANNED)
-    counted = written_once(scanned.groupBy("part").applyInArrow(_count_shared, _COUNTED), "shingles")
-    members = counted.filter("n is not null").drop("shared")
+    members, enough = _with_counts(docs.mapInArrow(partial(_scan_texts, words=words, parts=parts), _SCANNED), percent)
 
-    # Equal sets are one from here on; node is the set's number.
+    # Equal sets are one from here on; node is the set's number. Copies in other runs
+    # counted as sets that share tokens and so are counted again, once each.
     classes = members.filter("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("first_id"))
-    shared = counted.filter("shared is not null").groupBy("fp").agg(F.sum("shared").alias("shared"))
-    left = written_once(
-        classes.join(shared, "fp").filter(F.col("shared") >= F.ceil(F.lit(percent) * F.col("n") / 100)), "candidates")
+    left = written_once(classes.join(enough, ["fp", "fp2", "n"], "left_semi"), "candidates")
     at = positions(left.select("first_id"))
     texts = docs.join(F.broadcast(at), at["position"] == position(F.col("doc_id")), "left_semi").select("text")
     found = texts.mapInArrow(partial(_sets_of, words=words), "fp long, fp2 long, tokens binary")
-    sets = written_once(
+    distinct = written_once(
         left.join(found, ["fp", "fp2"]).groupBy("fp", "fp2", "n").agg(F.first("tokens").alias("tokens"))
         .withColumn("node", F.xxhash64("fp", "fp2")), "sets")
+    tokens = distinct.agg(F.sum("n")).first()[0] or 0
+    again = _with_counts(distinct.select("node", "tokens").mapInArrow(
+        partial(_scan_sets, parts=64 + tokens // TOKENS_PER_PART), _SCANNED), percent)[1]
+    sets = written_once(distinct.join(again.select(F.col("doc_id").alias("node")), "node", "left_semi"), "sets")
 
     cells = sets.select("tokens").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << SKETCH_BITS, np.int64)  # a fixed number of counters, whatever the input
@@ -286,6 +310,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
              .select("node", "tokens", "cluster", "block", F.greatest("block", "other").alias("high"),
                      F.least("block", "other").alias("low")))
+    many = 64 + (blocks.agg(F.sum(F.col("k") * (F.col("k") + 1) / 2)).first()[0] or 0) // 64
+    pairs = pairs.repartition(int(many), "cluster", "high", "low")
     links = written_once(pairs.groupBy("cluster", "high", "low").applyInArrow(
         lambda table: _verified(table, held.value, percent), "a long, b long, links long"), "links")
     groups = components(links.select("a", "b"))
@@ -299,3 +325,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "first_id", "doc_id").alias("component_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group, with all their columns: one
+    document of each group, and all that are in none. Rows that share a doc_id stay or go
+    together, and stay if any of them would."""
+    groups = jaccard_groups(docs, words, percent)
+    lost = groups.groupBy("doc_id").agg(F.bool_and(~F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("lost"))
+    lost = written_once(lost.filter("lost").select("doc_id"), "near")
+    apart, maybe = split_by_id(docs, lost)
+    gone = lost.select(F.col("doc_id").alias("_gone"))
+    return apart.unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_gone"]), "left_anti"))
