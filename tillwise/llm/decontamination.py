@@ -198,7 +198,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             words = _words([text])[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(words)]), pa.array([np.unique(words).view(np.int64).tolist()])], ["size", "words"])
+                [pa.array([len(words)]), pa.array([np.unique(words).view(np.int64)], pa.list_(pa.int64()))], ["size", "words"])
 
 
 def split_items(items: DataFrame) -> DataFrame:

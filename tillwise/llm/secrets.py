@@ -56,7 +56,7 @@ def _randomness(token: Column, alphabet: str) -> Column:
     """Fisher's combined p-value of the three tests, small for tokens that are not random."""
     k, n = len(alphabet), F.length(token).cast("double")
     letters = F.array(*[F.lit(c) for c in alphabet])
-    squares = F.aggregate(F.transform(letters, lambda c: F.length(token) - F.length(F.replace(token, c, F.lit("")))),
+    squares = F.aggregate(F.transform(letters, lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double")),
                           F.lit(0.0), lambda a, b: a + b * b)
     chi = squares * k / n - n
     # Wilson and Hilferty: the cube root of chi-squared is close to normal.
