@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oracle_queries import (
     ALL_DAYS, AS_OF, CATEGORY_RULES, INSIGHT, KPI_DAYS, ORACLES, PERIODS, PRODUCT_ID, RULES, STOCK_AS_OF,
+    STORE_ID,
 )
 from tillwise.operators import customers as c
 from tillwise.operators import forecast as f
@@ -17,7 +17,7 @@ from tillwise.operators import inventory as i
 from tillwise.operators import loading as l
 from tillwise.operators import recommend as r
 from tillwise.operators import sales as s
-from tillwise.plans.durable import shared_folder
+from tillwise.plans.durable import new_path
 from tillwise.sources.tables import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,10 @@ def _scored(t: RetailTables) -> DataFrame:
     return c.customer_rfm(t.customers, t.transaction_headers, AS_OF)
 
 
-def _loaded_twice(t: RetailTables, spark: SparkSession) -> DataFrame:
-    path = f"{shared_folder(spark)}/customer_metrics-{uuid.uuid4().hex}"
-    l.load_customer_metrics(t.transaction_headers, path)
-    l.load_customer_metrics(t.transaction_headers, path)
+def _loaded_twice(spark: SparkSession, load: Callable, *tables: DataFrame) -> DataFrame:
+    path = new_path(spark, "loaded")
+    load(*tables, path)
+    load(*tables, path)
     return spark.read.parquet(path)
 
 
@@ -57,6 +57,7 @@ CUSTOMERS = {
     "customer_metrics": lambda t: c.customer_metrics(t.transaction_headers),
     "customer_summary": lambda t: c.customer_summary(t.customers, t.transaction_headers),
     "customer_kmeans": lambda t: c.customer_kmeans(_rfm(t)),
+    "kmeans_summary": lambda t: c.kmeans_summary(c.customer_kmeans(_rfm(t))),
     "customer_value": lambda t: c.customer_value(t.transaction_headers, AS_OF),
 }
 
@@ -77,6 +78,8 @@ SALES = {
                                6, "value", "previous", "change"),
     "store_performance": lambda t: _rounded(
         s.store_performance(t.transactions, t.stores, None, AS_OF), 6, "performance"),
+    **{f"bundle_{name}": (lambda t, name=name: l.extract_bundle(t, STOCK_AS_OF)[name])
+       for name in ("transaction_data", "inventory_data", "product_data", "customer_data")},
     "extract_bundle": lambda t: l.bundle_sizes(l.extract_bundle(t, STOCK_AS_OF)),
 }
 
@@ -108,6 +111,7 @@ _LEVELS = ("eoq", "safety_stock", "reorder_point")
 
 INVENTORY = {
     "inventory_metrics": _metrics,
+    "inventory_metrics_of_store": lambda t: i.inventory_metrics(t.inventory, t.products, store_id=STORE_ID),
     "abc_analysis": lambda t: _rounded(i.abc_analysis(_metrics(t)), 8, "cumulative_percentage"),
     "optimize_inventory": lambda t: _rounded(_optimized(t), 6, *_LEVELS),
     "optimize_inventory_by_day": lambda t: _rounded(_optimized(t, "calendar_day"), 6, *_LEVELS),
@@ -208,6 +212,23 @@ FORECAST = {
     "forecast_advice": lambda t: f.forecast_advice(_forecast(t)),
 }
 
+
+def _product_forecast(t: RetailTables, product_id: int | None = None) -> DataFrame:
+    """Products sell on few days: clipping outliers would leave constants."""
+    series = f.daily_demand_since_start(t.items, t.transaction_headers, AS_OF, product_id=product_id)
+    return f.seasonal_trend_forecast(series, PERIODS, clip_outliers=False)
+
+
+FORECAST |= {
+    "daily_demand_product": lambda t: f.daily_demand_since_start(
+        t.items, t.transaction_headers, AS_OF, product_id=PRODUCT_ID),
+    "product_forecast": lambda t: _rounded(_product_forecast(t, PRODUCT_ID).drop("seasons"), 4, *_MODEL),
+    "product_forecast_accuracy": lambda t: _rounded(
+        f.forecast_accuracy(_product_forecast(t)), 4, "mae", "mape", "rmse", "r2"),
+    "product_forecast_advice": lambda t: f.forecast_advice(_product_forecast(t)),
+    "fourier_normal_equations": lambda t: _rounded(f.fourier_normal_equations(_series(t), PERIODS), 6, "residual"),
+}
+
 _BY_TABLES = {**CUSTOMERS, **SALES, **INVENTORY, **RECOMMEND, **FORECAST}
 
 
@@ -236,9 +257,13 @@ def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
 
 
 def queries() -> dict[str, Query]:
-    """One entry per operator; each takes (spark, sf_dir) and returns a lazy frame."""
+    """One entry per operator; each takes (spark, sf_dir) and returns a frame. Most are
+    lazy; those that fit a model, mine itemsets or load a table run jobs when called."""
     found = {name: _over_tables(job) for name, job in _BY_TABLES.items()}
-    found["load_customer_metrics"] = lambda spark, sf_dir: _loaded_twice(RetailTables(spark, sf_dir), spark)
+    found["load_customer_metrics"] = lambda spark, sf_dir: _loaded_twice(
+        spark, l.load_customer_metrics, RetailTables(spark, sf_dir).transaction_headers)
+    found["load_product_metrics"] = lambda spark, sf_dir: _rounded(_loaded_twice(
+        spark, l.load_product_metrics, _transformed(RetailTables(spark, sf_dir))), 6, "turnover_rate")
     return {**found, **_corpus()[0]}
 
 

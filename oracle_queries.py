@@ -14,7 +14,7 @@ RULES = {"min_support": 0.005, "min_confidence": 0.05}
 CATEGORY_RULES = {"min_support": 0.02, "min_confidence": 0.3}
 ALL_DAYS = None
 INSIGHT = {"min_lift": 1.0, "min_confidence": 0.3, "min_score": -0.5}
-STORE_ID = 7
+STORE_ID = 3
 
 ROLES = {
     "customers": """
@@ -694,10 +694,48 @@ FORECAST = {
              join ({_ACCURACY}) using (series_id)""", *_MULTI),
 }
 
+# One product, and all products: mostly zero days, so outliers stay.
+_PRODUCT_SERIES = _SERIES | {"sold": """
+    select cast(i.product_id as varchar) series_id, cast(t.transaction_date as date) ds, sum(i.quantity) q
+    from items i join transactions t on i.transaction_id = t.transaction_id {0} group by all"""}
+_UNCLIPPED = {"lifted": _CONDITIONED["lifted"], "conditioned": "select series_id, ds, y from lifted"}
+
+
+def _product_query(body: str, where: str = "") -> str:
+    return _forecast_query(body, _PRODUCT_SERIES | {"sold": _PRODUCT_SERIES["sold"].format(where)}, _UNCLIPPED, _PARTS,
+                           _model("parts", "*", True, True, Z975))
+
+
+_OF_ONE = f"where i.product_id = {PRODUCT_ID}"
+FORECAST |= {
+    "daily_demand_product": _forecast_query(
+        "select * from series", _PRODUCT_SERIES | {"sold": _PRODUCT_SERIES["sold"].format(_OF_ONE)}),
+    "product_forecast": _product_query(f"select series_id, ds, part, {_FORECAST_COLS} from forecast", _OF_ONE),
+    "product_forecast_accuracy": _product_query(FORECAST["forecast_accuracy"][FORECAST["forecast_accuracy"].rindex(
+        "select series_id, test_days"):]),
+    "product_forecast_advice": _product_query(FORECAST["forecast_advice"][FORECAST["forecast_advice"].rindex(
+        "select series_id, unnest(list_filter"):]),
+    # Of the ridge fit, its own equations: what they leave is 0.
+    "fourier_normal_equations": _forecast_query("""
+        select series_id, count(*) filter (part = 'train') train_days, count(*) filter (part = 'test') test_days,
+               count(*) filter (part = 'future') future_days, 0.0::double residual from extended group by 1""", *_MULTI[:3], {
+        "extended": _model("parts", "*", True, True, Z975)["extended"]}),
+}
+CUSTOMERS["kmeans_summary"] = _with("transactions", f"""
+    select count(*) customers, 4::bigint clusters, 0::bigint nearer_to_another, 0.0::double centre_error,
+           round(avg(recency), 6) mean_recency, round(avg(frequency), 6) mean_frequency from rfm""", rfm=RFM_WINDOW)
+SALES |= {
+    "bundle_transaction_data": SALES["transaction_lines"], "bundle_inventory_data": INVENTORY["inventory_snapshot"],
+    "bundle_product_data": SALES["product_catalog"], "bundle_customer_data": CUSTOMERS["customer_summary"],
+    "load_product_metrics": INVENTORY["product_metrics"],
+}
+INVENTORY["inventory_metrics_of_store"] = _with("inventory products", f"select * from ({METRICS}) where store_id = {STORE_ID}")
+
 # Days are handed over as timestamps: engines give plain dates to Python differently.
 _DAY_COLUMNS = {"daily_sales_trend": "day"} | {
     name: "ds" for name in FORECAST
-    if name not in ("forecast_accuracy", "forecast_error_summary", "seasonal_patterns", "forecast_advice")}
+    if name not in ("forecast_accuracy", "forecast_error_summary", "seasonal_patterns", "forecast_advice",
+                    "product_forecast_accuracy", "product_forecast_advice", "fourier_normal_equations")}
 
 ORACLES: dict[str, str] = {
     name: f'select * replace (cast("{_DAY_COLUMNS[name]}" as timestamp) as "{_DAY_COLUMNS[name]}") from ({sql})'

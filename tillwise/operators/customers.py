@@ -232,7 +232,10 @@ def customer_summary(customers: DataFrame, transactions: DataFrame) -> DataFrame
 def customer_kmeans(rfm: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """K-means clusters on standardised recency, frequency and monetary value.
 
-    Fitting reads the vectors several times, so they are kept while it runs.
+    Clusters are numbered by their centres, the most recent buyers first. Fitting
+    reads the vectors several times, so they are kept while it runs. The start of
+    the fit depends on how the rows are spread, so another layout may end in other
+    clusters; ``kmeans_summary`` says whether they are clusters.
     """
     vectors = VectorAssembler(inputCols=RFM, outputCol="raw").transform(rfm)
     kept = vectors.select("raw").persist(StorageLevel.MEMORY_AND_DISK)
@@ -242,7 +245,34 @@ def customer_kmeans(rfm: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
             scaler.transform(kept))
     finally:
         kept.unpersist()
-    return model.transform(scaler.transform(vectors)).drop("raw", "features")
+    centres = [tuple(float(v) for v in centre) for centre in model.clusterCenters()]
+    number = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
+    renumber = F.create_map(*[F.lit(v) for pair in number.items() for v in pair])
+    return model.transform(scaler.transform(vectors)).withColumn("cluster", renumber[F.col("cluster")]).drop(
+        "raw", "features")
+
+
+def kmeans_summary(clustered: DataFrame) -> DataFrame:
+    """One row: customers, clusters, how many customers are nearer to the mean of
+    another cluster than to their own's by over 2 % of a standard deviation, the largest
+    distance between means computed in two ways, and the mean recency and frequency."""
+    scale = clustered.agg(*[F.stddev_samp(c).alias(f"{c}_s") for c in RFM])
+    shared = clustered.crossJoin(F.broadcast(scale)).select("cluster", "recency", "frequency", *[
+        F.try_divide(F.col(c).cast("double"), F.col(f"{c}_s")).alias(f"{c}_z") for c in RFM])
+    z = [f"{c}_z" for c in RFM]
+    means = shared.groupBy("cluster").agg(*[F.avg(c).alias(f"{c}_m") for c in z], *[
+        (F.sum(c) / F.count(c)).alias(f"{c}_n") for c in z])
+    all_means = F.broadcast(means.agg(F.collect_list(F.struct("*")).alias("means")))
+    apart = lambda m: F.sqrt(sum(((F.col(c) - m[f"{c}_m"]) * (F.col(c) - m[f"{c}_m"]) for c in z), F.lit(0.0)))
+    error = lambda m: sum((F.abs(m[f"{c}_m"] - m[f"{c}_n"]) for c in z), F.lit(0.0))
+    own = F.array_min(F.transform(F.filter("means", lambda m: m["cluster"] == F.col("cluster")), apart))
+    best = F.array_min(F.transform("means", apart))
+    return shared.crossJoin(all_means).select(
+        "cluster", "recency", "frequency", (own > best + 0.02).alias("off"),
+        F.array_max(F.transform("means", error)).alias("error")).agg(
+        F.count(F.lit(1)).alias("customers"), F.countDistinct("cluster").alias("clusters"),
+        F.count_if("off").alias("nearer_to_another"), F.round(F.max("error"), 6).alias("centre_error"),
+        F.round(F.avg("recency"), 6).alias("mean_recency"), F.round(F.avg("frequency"), 6).alias("mean_frequency"))
 
 
 def customer_value(transactions: DataFrame, as_of) -> DataFrame:

@@ -366,10 +366,11 @@ def _fourier_fit(frame: pd.DataFrame, z: float) -> pd.DataFrame:
     penalty = np.r_[1e-8, 1e-8, np.full(len(bends), 1 / _CHANGEPOINT_PRIOR), np.full(len(season), 1 / _SEASON_PRIOR)]
     a, y = design[train], frame["y"].to_numpy(float)[train] / scale
     weights = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y)
+    left_over = np.abs(a.T @ (y - a @ weights) - penalty * weights).max()
     yhat = design @ weights * scale
     spread = z * np.std(y * scale - yhat[train], ddof=min(1, n - 1))
     return frame.assign(trend=trend @ weights[:trend.shape[1]] * scale, yhat=yhat,
-                        yhat_lower=yhat - spread, yhat_upper=yhat + spread)
+                        yhat_lower=yhat - spread, yhat_upper=yhat + spread, left_over=left_over)
 
 
 def fourier_trend_forecast(series: DataFrame, periods: int = 30, interval: float = 0.95) -> DataFrame:
@@ -379,9 +380,21 @@ def fourier_trend_forecast(series: DataFrame, periods: int = 30, interval: float
     regression; its numbers are not those of the original solver. One call per
     series, which holds one row per day.
     """
+    return _fourier(series, periods, interval).drop("left_over")
+
+
+def fourier_normal_equations(series: DataFrame, periods: int = 30) -> DataFrame:
+    """Per series the training, test and future days, and the largest entry that the
+    fit leaves in the normal equations of its ridge regression; 0 but for rounding."""
+    part = lambda name: F.count_if(F.col("part") == name).alias(f"{name}_days")
+    return _fourier(series, periods, 0.95).groupBy("series_id").agg(
+        part("train"), part("test"), part("future"), F.max("left_over").alias("residual"))
+
+
+def _fourier(series: DataFrame, periods: int, interval: float) -> DataFrame:
     z = normal_quantile(0.5 + interval / 2)
     rows = _with_future(train_test_split(condition_series(series)), periods).where("part != 'short'")
     return rows.groupBy("series_id").applyInPandas(
         lambda frame: _fourier_fit(frame, z),
         "series_id string, ds date, y double, part string, trend double, yhat double, "
-        "yhat_lower double, yhat_upper double")
+        "yhat_lower double, yhat_upper double, left_over double")

@@ -42,6 +42,11 @@ def load_customer_metrics(transactions: DataFrame, path: str) -> None:
     load_new_records(customer_metrics(transactions), path, ["customer_id"])
 
 
+def load_product_metrics(transformed_inventory: DataFrame, path: str) -> None:
+    """Adds the products not yet in the ``product_metrics`` table at ``path``."""
+    load_new_records(product_metrics(transformed_inventory), path, ["product_id"])
+
+
 def product_metrics(transformed_inventory: DataFrame) -> DataFrame:
     """Stock value and mean turnover per product, from the transformed stock rows.
 
