@@ -44,7 +44,7 @@ def test_calendar(tx, rows):
 def test_lines_newest_first(spark, tx):
     items = spark.createDataFrame([(1, 5, 1, 10.0), (3, 6, 2, 15.0), (9, 6, 1, 1.0)],
                                   "transaction_id long, product_id long, quantity int, unit_price double")
-    assert [r["transaction_id"] for r in sales.transaction_lines(tx, items).collect()] == [3, 1]
+    assert [r["transaction_id"] for r in sales.transaction_lines(tx, items, newest_first=True).collect()] == [3, 1]
 
 
 def test_trend(tx, rows):
@@ -85,6 +85,13 @@ def test_store_performance(tx, shops, rows):
     assert got == [(1, 40.0, 2, 20.0, 2.0), (2, 20.0, 1, 20.0, 1.0), (3, 0.0, 0, None, 0.0)]
 
 
+def test_sales_of_no_store_leave_the_mean_alone(spark, rows):
+    tx = spark.sql("""select * from values (1, 1, timestamp_ntz'2024-06-02', 10.0d), (2, 2, timestamp_ntz'2024-06-02', 10.0d),
+                      (3, null, timestamp_ntz'2024-06-02', 20.0d) t(transaction_id, store_id, transaction_date, total_amount)""")
+    two = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "store_id int, name string, state string")
+    assert rows(sales.store_performance(tx, two, None, None), "store_id", "performance") == [(1, 1.0), (2, 1.0)]
+
+
 # -- writing and reading -------------------------------------------------------------
 
 def test_load_skips_known_and_repeated_keys(spark, tmp_path, rows):

@@ -186,12 +186,13 @@ def similar_to(baskets: DataFrame, product_id: int, n: int = 5) -> DataFrame:
     )
 
 
-def category_correlation(baskets: DataFrame) -> DataFrame:
+def category_correlation(baskets: DataFrame, full: bool = False) -> DataFrame:
     """Pearson correlation of the categories' line counts per transaction.
 
     Transactions without a category count as 0, which only enters through their
     number. Rows are the categories that meet in some transaction, in both orders,
-    and the diagonal. Two that never meet have no row; their correlation is below 0.
+    and the diagonal. Two that never meet have no row, their correlation being below
+    0, unless the ``full`` matrix is asked for: every two categories are its rows.
     """
     counts = _line_counts(baskets, "category")
     baskets_seen = counts.select(F.countDistinct("transaction_id").cast("double").alias("n"))
@@ -201,10 +202,17 @@ def category_correlation(baskets: DataFrame) -> DataFrame:
         F.col("category").alias(key), F.col("s").alias(f"s{key}"), F.col("q").alias(f"q{key}"))
     met = mirrored(item_pairs(counts, "transaction_id", "category", "lines").select("a", "b", "dot"))
     itself = moments.select(F.col("category").alias("a"), F.col("category").alias("b"), F.col("q").alias("dot"))
+    met = met.unionByName(itself)
+    if full:
+        # Each left row goes to all join keys, each right row to one.
+        keys = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = moments.select(F.col("category").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("k"))
+        right = moments.select(F.col("category").alias("b"), F.pmod(F.hash("category"), F.lit(keys)).alias("k"))
+        met = left.join(right, "k").join(met, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0)).alias("dot"))
     n, dot = F.col("n"), F.col("dot")
     spread = lambda s, q: n * F.col(q) - F.col(s) * F.col(s)
     return (
-        met.unionByName(itself).join(side("a"), "a").join(side("b"), "b")
+        met.join(side("a"), "a").join(side("b"), "b")
         .withColumn("n", baskets_seen.scalar())
         .select("a", "b", F.try_divide(
             n * dot - F.col("sa") * F.col("sb"),
