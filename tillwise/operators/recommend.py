@@ -259,8 +259,12 @@ def _recent_rows(items: DataFrame, transactions: DataFrame, products: DataFrame,
 
 def bought_together(items: DataFrame, transactions: DataFrame, products: DataFrame, product_id: int,
                     as_of, k: int = 5, days_back: int = 90) -> DataFrame:
-    """The ``k`` products sharing most recent transactions with one product."""
-    rows = _recent_rows(items, transactions, products, as_of, days_back)
+    """The ``k`` products sharing most recent transactions with one product.
+
+    Only lines of the product's own transactions get past the first join."""
+    own = items.where(F.col("product_id") == product_id).select("transaction_id").distinct()
+    near = items.join(own, "transaction_id", "left_semi")
+    rows = _recent_rows(near, transactions, products, as_of, days_back)
     best = _best(partners_of(rows, "transaction_id", "product_id", product_id), product_id, k)
     return _described(best, products, "related", "co_purchase_count")
 
@@ -283,8 +287,13 @@ def _customer_products(items: DataFrame, transactions: DataFrame, products: Data
 
 def shared_customers(items: DataFrame, transactions: DataFrame, products: DataFrame, product_id: int,
                      k: int = 10) -> DataFrame:
-    """The ``k`` products sharing most customers with one product."""
-    rows = _customer_products(items, transactions, products)
+    """The ``k`` products sharing most customers with one product.
+
+    Goes from the product's lines to its customers, then to their lines only."""
+    own = items.where(F.col("product_id") == product_id).select("transaction_id").distinct()
+    buyers = transactions.where(F.col("customer_id").isNotNull())
+    customers = buyers.join(own, "transaction_id", "left_semi").select("customer_id").distinct()
+    rows = _customer_products(items, buyers.join(customers, "customer_id", "left_semi"), products)
     best = _best(partners_of(rows, "customer_id", "product_id", product_id), product_id, k)
     return _described(best, products, "similar", "common_customers")
 
