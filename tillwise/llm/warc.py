@@ -23,6 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.plans.durable import written_once
+
 # Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000 0000".replace(" ", ""))
@@ -240,11 +242,16 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> Da
     """One row per record: page_id, url, record_type, refers_to, payload_bytes and
     payload_digest of the full payload. Those of a revisit come from the response that it
     names, found by record id among all files; null if that is missing."""
-    found = warc_records(spark, path, range_bytes).withColumn("bytes", F.length("payload").cast("long")).drop("payload")
-    responses = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("of")).agg(
+    # Kept without payloads: the archives are read once, and the sizes of both sides of
+    # the join are known rather than guessed from the list of ranges.
+    found = written_once(
+        warc_records(spark, path, range_bytes).withColumn("bytes", F.length("payload").cast("long")).drop("payload"), "records")
+    is_revisit = F.col("record_type").eqNullSafe(F.lit("revisit"))
+    full = found.filter(~is_revisit)
+    responses = full.groupBy(F.col("record_id").alias("of")).agg(
         F.first("bytes").alias("of_bytes"), F.first("payload_digest").alias("of_digest"))
-    joined = found.join(responses, F.col("refers_to_record") == F.col("of"), "left")
-    return joined.select(
-        "page_id", "url", "record_type", "refers_to", F.coalesce("bytes", "of_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "of_digest").alias("payload_digest"),
-        (F.coalesce("payload_digest", "of_digest") == F.col("header_digest")).alias("digest_agrees"))
+    named = found.filter(is_revisit).join(responses, F.col("refers_to_record") == F.col("of"), "left").withColumns(
+        {"bytes": F.col("of_bytes"), "payload_digest": F.col("of_digest")})
+    return full.unionByName(named.select(*full.columns)).select(
+        "page_id", "url", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), "payload_digest",
+        (F.col("payload_digest") == F.col("header_digest")).alias("digest_agrees"))
