@@ -36,7 +36,7 @@ from tillwise.plans.durable import written_once
 #: Characters and tokens for which there is one more part of all tokens.
 CHARS_PER_PART, TOKENS_PER_PART = 6_000_000, 1_000_000
 #: Sets and bytes of sets that a block of a cluster holds, about.
-BLOCK_SETS, BLOCK_BYTES = 256, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 1024, 24 << 20
 #: Counters of the frequency sketch; it orders tokens and never decides a link.
 SKETCH_BITS = 18
 
