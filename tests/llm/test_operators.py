@@ -230,6 +230,21 @@ def test_secrets_random_tokens(documents):
     assert secrets.secrets(documents()).count() == 0
 
 
+def test_secrets_few_random_tokens(documents):
+    """One to five random tokens in a class of their own, with words beside them."""
+    draw = random.Random(3)
+    signs = {"base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    rows, classes = ["the wordlikewordlikewordlikewordlikeword is not"] * 20, []
+    for alphabet in signs.values():
+        for n, length in enumerate((23, 32, 46, 64, 91), 1):  # one length class each
+            classes.append(range(len(rows), len(rows) + n))
+            rows += ["see " + "".join(draw.choices(alphabet, k=length)) + " here" for _ in range(n)]
+    got = {r.doc_id: r.n_random for r in secrets.secrets(documents(*rows)).collect()}
+    assert sum(got[i] for i in range(20)) == 0
+    assert sum(got[i] for c in classes for i in c) >= 26  # of 30
+    assert sum(any(got[i] for i in c) for c in classes) >= 9
+
+
 def test_spans_of_many_matches(documents):
     text = " ".join(f"token=abcdef{i}" for i in range(300))
     row = secrets.secrets(documents(text)).first()

@@ -8,7 +8,8 @@ Words and names fail these tests, the more clearly the longer they are. So thres
 are set for each encoding and length class over the whole corpus: p-values of random
 tokens are uniform, which tells how many there are from the upper half, and the
 threshold is the lowest at which the others are at most a share ``fdr`` of the tokens
-that are kept.
+that are kept. A class of few tokens does not show that; there the threshold is fixed
+unless a binomial test speaks against it.
 
 All of it is built-in functions; a text is read once.
 """
@@ -16,8 +17,9 @@ All of it is built-in functions; a text is read once.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.spans import block_columns, match_columns, prefix_columns, step_columns
@@ -40,6 +42,9 @@ ALPHABETS = {
 _FORMS = {"hex": "^[0-9a-f]+$", "upper_hex": "^[0-9A-F]+$", "base32": "^[A-Z2-7]+$", "alphanumeric": "^[A-Za-z0-9]+$",
           "base64": "^[A-Za-z0-9+/]+$", "base64url": "^[A-Za-z0-9_-]+$"}
 _BINS = 200
+#: The fixed threshold of classes with too few tokens to estimate one, which loses one
+#: random token in twenty; and how unlikely an excess has to be by chance to count as one.
+LEAST, DOUBT = 0.05, 0.05
 
 
 def _tail(z: Column) -> Column:
@@ -101,20 +106,39 @@ def _tested(tokens: Column) -> Column:
     return F.transform(tokens, test)
 
 
-def thresholds(tested: DataFrame, fdr: float) -> DataFrame:
-    """(encoding, size, p) -> one row per encoding and length class: the least p-value,
-    in steps of 1/200, from which tokens count as random. Null if none do."""
+def _chance(most: int, n: int, share: float) -> float:
+    """The probability of at most ``most`` hits in ``n`` draws."""
+    if share >= 1:
+        return float(most >= n)
+    if n > 500:  # the normal approximation, with the usual half
+        return math.erfc((n * share - most - 0.5) / math.sqrt(2 * n * share * (1 - share))) / 2
+    term = total = (1 - share) ** n
+    for i in range(1, most + 1):
+        term *= (n - i + 1) / i * share / (1 - share)
+        total += term
+    return total
+
+
+def thresholds(tested: DataFrame, fdr: float) -> list[tuple[str, int, float]]:
+    """(encoding, size, p) -> encoding, length class and the least p-value, in steps of
+    1/200 up to a half, from which tokens count as random: the least at which the excess
+    over uniform p-values is at most ``fdr``, or, from ``LEAST`` on, at which a binomial
+    test sees no excess at all. Few tokens show none, so for them it is ``LEAST``."""
     step = F.least(F.floor(F.col("p") * _BINS), F.lit(_BINS - 1)).cast("int")
-    counts = tested.groupBy("encoding", "size", step.alias("step")).agg(F.count("*").alias("n"))
-    each = Window.partitionBy("encoding", "size")
-    above = each.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    real = 2 * F.sum(F.when(F.col("step") >= _BINS // 2, F.col("n")).otherwise(0)).over(each)
-    level = F.col("step") / _BINS
-    kept = F.sum("n").over(above)
-    ranked = counts.select("encoding", "size", level.alias("level"), kept.alias("kept"), real.alias("real"))
-    false = F.greatest(F.col("kept") - F.col("real") * (1 - F.col("level")), F.lit(0.0))
-    return ranked.filter((F.col("level") > 0) & (F.col("real") > 0) & (false <= fdr * F.col("kept"))).groupBy(
-        "encoding", "size").agg(F.min("level").alias("level"))
+    # A few hundred rows for each of a few dozen encodings and length classes.
+    counts = defaultdict(lambda: [0] * _BINS)
+    for row in tested.groupBy("encoding", "size", step.alias("step")).agg(F.count("*").alias("n")).collect():
+        counts[row["encoding"], row["size"]][row["step"]] = row["n"]
+    found = []
+    for (encoding, size), n in counts.items():
+        upper = sum(n[_BINS // 2:])
+        for at in range(1, _BINS // 2 + 1):
+            level, kept = at / _BINS, sum(n[at:])
+            excess = kept - 2 * upper * (1 - level)
+            if excess <= fdr * kept or level >= LEAST and _chance(upper, kept, 0.5 / (1 - level)) >= DOUBT:
+                found.append((encoding, size, level))
+                break
+    return found
 
 
 def _labelled(spans: Column, kind: int) -> Column:
@@ -133,9 +157,9 @@ def secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     n_random, base (spans of the known forms), all_spans (and the random tokens that touch
     none of those); spans are (start, kind, end), kind the place in ``KINDS``.
 
-    Null and empty texts have no spans. Repeated rows are searched each. A corpus with no
-    token in the upper half of the p-values has no random tokens. Columns beside doc_id and
-    text are not read.
+    Null and empty texts have no spans. Repeated rows are searched each. Where no
+    token of a class has a p-value in the upper half, up to four of the others may be kept.
+    Columns beside doc_id and text are not read.
     """
     text = F.col("text")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -160,9 +184,8 @@ def secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
             a["start"].alias("start"), a["end"].alias("end"), t["encoding"].alias("encoding"), t["size"].alias("size"),
             t["p"].alias("p"))).alias("tested")), "secrets")
 
-    # One row per encoding and length class: a few dozen.
-    levels = thresholds(found.select(F.explode("tested").alias("x")).select("x.*"), fdr).collect()
-    needed = F.create_map(*[F.lit(x) for r in levels for x in (f"{r['encoding']}:{r['size']}", r["level"])]) if levels else \
+    levels = thresholds(found.select(F.explode("tested").alias("x")).select("x.*").filter("encoding is not null"), fdr)
+    needed = F.create_map(*[F.lit(x) for encoding, size, level in levels for x in (f"{encoding}:{size}", level)]) if levels else \
         F.create_map().cast("map<string,double>")
     apart = lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     random = F.filter(F.col("tested"), lambda x: (
