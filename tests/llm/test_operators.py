@@ -245,6 +245,22 @@ def test_secrets_few_random_tokens(documents):
     assert sum(any(got[i] for i in c) for c in classes) >= 9
 
 
+def test_secrets_in_paths_and_mixed_runs(documents):
+    draw = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda more: "".join(draw.choices(signs, k=25)) + more + "".join(draw.choices(signs, k=25))
+    path = "https://host.example/user-files/upload-folder/{}/last_page/the-old-index-of-everything"
+    kinds = [[path.format(token("x")) for _ in range(30)], [token("+/-_") for _ in range(30)],
+             ["1//0g" + token("-_") for _ in range(30)], ["the-session_name_of-it_" + token("+/") for _ in range(30)]]
+    rows = {i: r for i, r in enumerate(r for k in kinds for r in k)}
+    got = {r.doc_id: r for r in secrets.secrets(documents(*rows.items(), (999, path.format("here")))).collect()}
+    for k in range(4):
+        assert sum(got[i].n_random == 1 for i in range(30 * k, 30 * k + 30)) >= 24
+    assert got[999].n_random == 0
+    spans = [rows[i][s.start:s.end] for i in range(30) for s in got[i].all_spans]
+    assert all(s in path.format(s) and len(s) == 51 for s in spans)  # the key, without its path
+
+
 def test_spans_of_many_matches(documents):
     text = " ".join(f"token=abcdef{i}" for i in range(300))
     row = secrets.secrets(documents(text)).first()

@@ -2,7 +2,10 @@
 
 Every long token is tested for randomness in the alphabet of its likely encoding: a
 chi-squared test of uniform characters, a runs test around the middle of the alphabet
-and the serial correlation of neighbours. Fisher's method combines the three.
+and the serial correlation of neighbours. Fisher's method combines the three. A token is a
+run of the characters of all encodings; as keys stand in paths and names too, its parts
+between slashes and pluses, and between hyphens and underscores, are tested as well. They
+count where the whole does not. Tokens and parts of fewer than 20 characters are not tested.
 
 Words and names fail these tests, the more clearly the longer they are. So thresholds
 are set for each encoding and length class over the whole corpus: p-values of random
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +37,17 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters and least length of a token that is tested.
 TOKEN = "[A-Za-z0-9+/_-]{20,}"
+#: Parts of longer runs: between slashes and pluses, and between hyphens and underscores.
+PARTS = {"segment": ("A-Za-z0-9_-", "+/"), "plain": ("A-Za-z0-9+/", "_-")}
+PARTS = {name: f"(?<=[{out}])[{of}]{{20,}}+|(?<![{of}])[{of}]{{20,}}+(?=[{out}])" for name, (of, out) in PARTS.items()}
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
     "hex": _DIGITS + "abcdef", "upper_hex": _DIGITS + "ABCDEF", "base32": _LOWER.upper() + "234567",
     "alphanumeric": _DIGITS + _LOWER.upper() + _LOWER, "base64": _DIGITS + _LOWER.upper() + _LOWER + "+/",
-    "base64url": _DIGITS + _LOWER.upper() + _LOWER + "-_",
+    "base64url": _DIGITS + _LOWER.upper() + _LOWER + "-_", "mixed": _DIGITS + _LOWER.upper() + _LOWER + "+/-_",
 }
 _FORMS = {"hex": "^[0-9a-f]+$", "upper_hex": "^[0-9A-F]+$", "base32": "^[A-Z2-7]+$", "alphanumeric": "^[A-Za-z0-9]+$",
-          "base64": "^[A-Za-z0-9+/]+$", "base64url": "^[A-Za-z0-9_-]+$"}
+          "base64": "^[A-Za-z0-9+/]+$", "base64url": "^[A-Za-z0-9_-]+$", "mixed": "^[A-Za-z0-9+/_-]+$"}
 _BINS = 200
 #: The fixed threshold of classes with too few tokens to estimate one, which loses one
 #: random token in twenty; and how unlikely an excess has to be by chance to count as one.
@@ -145,6 +152,16 @@ def _labelled(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def _ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank")))
+
+
+def _without_touching(spans: Column, rank: int, touches: Callable[[Column, Column], Column]) -> Column:
+    """Those of the rank stay only if they touch none of an earlier one."""
+    earlier = F.filter(spans, lambda y: y["rank"] < rank)
+    return F.filter(spans, lambda x: (x["rank"] != rank) | ~touches(x, earlier))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -163,15 +180,17 @@ def secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """
     text = F.col("text")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = ("assign", "access", "hex", "token")
+    tokens = {"token": TOKEN, **PARTS}
+    names = ("assign", "access", "hex", *tokens)
     steps = docs.select(
         "doc_id", *[c.alias(n) for n, c in {
             **match_columns("assign", text, ASSIGN, (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), 2),
             **match_columns("access", text, ACCESS, F.contains(text, F.lit("AKIA"))),
             **match_columns("hex", text, HEX, text.rlike(HEX)),
-            **match_columns("token", text, TOKEN, text.rlike(TOKEN)),
+            **{k: v for n, p in tokens.items() for k, v in match_columns(n, text, p, text.rlike(p)).items()},
         }.items()],
-        F.when(text.rlike(TOKEN), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("tokens"))
+        *[F.when(text.rlike(p), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"{n}_text")
+          for n, p in tokens.items()])
     for make in (step_columns, block_columns, prefix_columns):
         steps = steps.withColumns({k: v for n in names for k, v in make(n).items()})
     long_enough = F.filter(F.zip_with(F.col("assign_at"), F.col("assign_g"), lambda a, g: F.struct(
@@ -180,16 +199,20 @@ def secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     base = F.concat(_labelled(long_enough, 0), _labelled(full, 1), _labelled(F.col("hex_at"), 2))
     found = written_once(steps.select(
         "doc_id", base.alias("base"),
-        F.zip_with(F.col("token_at"), _tested(F.col("tokens")), lambda a, t: F.struct(
-            a["start"].alias("start"), a["end"].alias("end"), t["encoding"].alias("encoding"), t["size"].alias("size"),
-            t["p"].alias("p"))).alias("tested")), "secrets")
+        F.zip_with(F.concat(*[_ranked(F.col(f"{n}_at"), i) for i, n in enumerate(tokens)]),
+                   _tested(F.concat(*[F.col(f"{n}_text") for n in tokens])), lambda a, t: F.struct(
+            a["start"].alias("start"), a["end"].alias("end"), a["rank"].alias("rank"), t["encoding"].alias("encoding"),
+            t["size"].alias("size"), t["p"].alias("p"))).alias("tested")), "secrets")
 
-    levels = thresholds(found.select(F.explode("tested").alias("x")).select("x.*").filter("encoding is not null"), fdr)
+    levels = thresholds(found.select(F.explode("tested").alias("x")).select("x.*"), fdr)
     needed = F.create_map(*[F.lit(x) for encoding, size, level in levels for x in (f"{encoding}:{size}", level)]) if levels else \
         F.create_map().cast("map<string,double>")
-    apart = lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    touches = lambda x, spans: F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     random = F.filter(F.col("tested"), lambda x: (
-        x["p"] >= F.try_element_at(needed, F.concat_ws(":", x["encoding"], x["size"].cast("string")))) & apart(x))
+        x["p"] >= F.try_element_at(needed, F.concat_ws(":", x["encoding"], x["size"].cast("string")))) & ~touches(x, F.col("base")))
+    found = found.select("doc_id", "base", random.alias("random"))
+    for i in range(1, len(tokens)):  # wholes first, then parts of the others
+        found = found.withColumn("random", _without_touching(F.col("random"), i, touches))
     count = lambda kind: F.size(F.filter(F.col("all_spans"), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
-    return found.select("doc_id", "base", F.concat("base", _labelled(random, 3)).alias("all_spans")).select(
+    return found.select("doc_id", "base", F.concat("base", _labelled(F.col("random"), 3)).alias("all_spans")).select(
         "doc_id", *[count(k) for k in range(4)], "base", "all_spans")
