@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tillwise.llm import chat, decontamination, language, mixing, pii, secrets, toxicity, warc
+from tillwise.llm import chat, decontamination, jaccard_join, language, mixing, pii, secrets, toxicity, warc
 from tillwise.llm.exact_dedup import exact_dedup, without_duplicates
 from tillwise.llm.jaccard_join import jaccard_groups, one_per_group
 
@@ -76,6 +76,25 @@ def test_jaccard_join(documents):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
+def test_jaccard_join_links(documents, monkeypatch):
+    """n_links by brute force, in many blocks, some of them empty."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(300)]
+    rows = [None, "", "one", "ONE", " one ", "a b"]
+    for _ in range(5):
+        base = draw.choices(words, k=60)
+        for _ in range(8):
+            text = list(base)
+            text[draw.randrange(len(text))] = draw.choice(words)
+            rows += [" ".join(text), "  ".join(text).upper()][:draw.randint(1, 2)]
+    rows = list(enumerate(rows + [rows[-1]] * 3))
+    sets = {i: _shingles(t) for i, t in rows}
+    want = {a: sum(a != b and bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+                   for b in sets) for a in sets}
+    assert {r.doc_id: r.n_links for r in jaccard_groups(documents(*rows)).collect()} == want
+
+
 def test_jaccard_join_hard_rows(documents):
     docs = documents(*HARD)
     got = jaccard_groups(docs)

@@ -221,7 +221,7 @@ def _verified(table: pa.Table, counts: np.ndarray, percent: int) -> pa.Table:
     node = np.asarray(table["node"].combine_chunks())
     side = np.asarray(table["block"].combine_chunks()) != table["high"][0].as_py()
     sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-    inside = not side.any()
+    inside = table["high"][0].as_py() == table["low"][0].as_py()
     a = np.arange(len(node)) if inside else np.flatnonzero(side)
     b = a if inside else np.flatnonzero(~side)
     n = np.array([len(s) for s in sets], np.int64)
@@ -247,8 +247,9 @@ def _verified(table: pa.Table, counts: np.ndarray, percent: int) -> pa.Table:
         both = _common([sets[a[i]] for i in rows], [sets[b[j]] for j in columns])
         total = n[a[rows]][:, None] + n[b[columns]] - both
         linked = (100 * both.astype(np.int64) >= percent * total) & passed[np.ix_(rows, columns)]
-        links += np.bincount(a[rows], linked.sum(1), len(node)).astype(np.int64)
-        links += np.bincount(b[columns], linked.sum(0), len(node)).astype(np.int64)
+        docs = np.asarray(table["docs"].combine_chunks())
+        links[a[rows]] += linked @ docs[b[columns]]
+        links[b[columns]] += docs[a[rows]] @ linked
         for i, j in np.argwhere(linked):
             root[find(a[rows[i]])] = find(b[columns[j]])
     some = np.flatnonzero(links)
@@ -261,8 +262,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     component_id, n_links.
 
     ``component_id`` is the smallest doc_id that links reach; ``n_links`` counts the
-    *other* shingle sets a document's set is linked with (documents with an equal
-    set are linked too and not counted). The text is lower-cased in A-Z and split at
+    other documents a document is linked with, those with an equal set too; rows that
+    repeat count each. The text is lower-cased in A-Z and split at
     ASCII white space.
 
     A null or empty text has no shingle, no link and its own doc_id as component.
@@ -277,13 +278,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
 
     # Equal sets are one from here on; node is the set's number. Copies in other runs
     # counted as sets that share tokens and so are counted again, once each.
-    classes = members.filter("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("first_id"))
+    classes = members.filter("n > 0").groupBy("fp", "fp2", "n").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("docs"))
     left = written_once(classes.join(enough, ["fp", "fp2", "n"], "left_semi"), "candidates")
     at = positions(left.select("first_id"))
     texts = docs.join(F.broadcast(at), at["position"] == position(F.col("doc_id")), "left_semi").select("text")
     found = texts.mapInArrow(partial(_sets_of, words=words), "fp long, fp2 long, tokens binary")
     distinct = written_once(
-        left.join(found, ["fp", "fp2"]).groupBy("fp", "fp2", "n").agg(F.first("tokens").alias("tokens"))
+        left.join(found, ["fp", "fp2"]).groupBy("fp", "fp2", "n").agg(F.first("tokens").alias("tokens"), F.first("docs").alias("docs"))
         .withColumn("node", F.xxhash64("fp", "fp2")), "sets")
     tokens = distinct.agg(F.sum("n")).first()[0] or 0
     again = _with_counts(distinct.select("node", "tokens").mapInArrow(
@@ -302,13 +304,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     met = prefix.join(least, "token").select(F.col("node").alias("a"), "b").distinct()
     clusters = written_once(components(met), "clusters")
 
-    inside = sets.join(clusters, "node").select("node", "n", "tokens", F.col("component").alias("cluster"))
+    inside = sets.join(clusters, "node").select("node", "n", "docs", "tokens", F.col("component").alias("cluster"))
     blocks = inside.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int").alias("k"))
     block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pairs = (inside.join(blocks, "cluster").withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .select("node", "tokens", "cluster", "block", F.greatest("block", "other").alias("high"),
+             .select("node", "docs", "tokens", "cluster", "block", F.greatest("block", "other").alias("high"),
                      F.least("block", "other").alias("low")))
     many = 64 + (blocks.agg(F.sum(F.col("k") * (F.col("k") + 1) / 2)).first()[0] or 0) // 64
     pairs = pairs.repartition(int(many), "cluster", "high", "low")
@@ -321,10 +323,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     named = written_once(linked, "linked")
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(first, "component").select("fp", "fp2", "n", "component_id", "n_links")
+    # Documents with an equal set, then those of the sets linked with it.
+    equal = F.coalesce(F.col("docs") - 1, F.lit(0))
     return (members.join(classes, ["fp", "fp2", "n"], "left").join(by_set, ["fp", "fp2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "first_id", "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+                    (equal + F.coalesce("n_links", F.lit(0))).alias("n_links")))
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
