@@ -153,6 +153,14 @@ def test_toxicity_exceptions_and_longest_term():
     assert list(sums) == [2.0, 0.0, 0.0, 2.0, 2.0]
 
 
+def test_toxicity_exceptions_end_with_their_text():
+    lexicon = toxicity.Lexicon({" clown ": 2.0}, [" clown fish ", " the clown "])
+    matcher = toxicity._Matcher(lexicon)
+    texts = ["a clown", "fish", "the", "clown", None, "clown fish", "you clown  ", " fish the", "", "clown"]
+    alone = [float(matcher.sums([t])[0][0]) for t in texts]
+    assert list(matcher.sums(texts)[0]) == alone == [2.0, 0.0, 0.0, 2.0, 0.0, 0.0, 2.0, 0.0, 0.0, 2.0]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a\nb", "x" * 5000), (2, None, "x" * 5000), (3, "u", None), (4, "u", ""), (None, "u", "x" * 5000),
              (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (6, "v", "".join(map(chr, range(1, 2000))))]

@@ -243,6 +243,8 @@ class _Matcher:
                 order = order[~shut[order]]
                 first = np.append(True, start[order][1:] != start[order][:-1])
                 hits = order[first]  # the longest term at a word
+                # A phrase over the end of a text is none.
+                shut &= np.searchsorted(ends, start + 1, "right") == np.searchsorted(ends, start + size - 1, "right")
                 if shut.any():
                     low, high = np.sort(start[shut]), np.sort((start + size)[shut])
                     inside = np.searchsorted(low, start[hits], "right") > np.searchsorted(high, start[hits] + 1, "right")
