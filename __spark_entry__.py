@@ -143,6 +143,11 @@ def _category_rules(t: RetailTables) -> DataFrame:
     return r.association_rules(_baskets(t, ALL_DAYS), item="category", **CATEGORY_RULES)
 
 
+def _category_scores(t: RetailTables) -> DataFrame:
+    """Two categories that never meet correlate below 0, which may be above the threshold."""
+    return r.category_correlation(_baskets(t, ALL_DAYS), full=INSIGHT["min_score"] < 0)
+
+
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.array_join(name, "|") for name in columns})
 
@@ -163,6 +168,7 @@ RECOMMEND = {
     "similar_products": lambda t: _rounded(r.similar_products(r.item_cosine(_baskets(t))), 8, "score"),
     "similar_to": lambda t: _rounded(r.similar_to(_baskets(t), PRODUCT_ID), 8, "score"),
     "category_correlation": lambda t: _rounded(r.category_correlation(_baskets(t)), 8, "score"),
+    "category_correlation_full": lambda t: _rounded(r.category_correlation(_baskets(t), full=True), 8, "score"),
     "product_lookup": lambda t: r.product_lookup(t.products, PRODUCT_ID),
     "bought_together": lambda t: r.bought_together(
         t.items, t.transaction_headers, t.products, PRODUCT_ID, AS_OF),
@@ -172,9 +178,9 @@ RECOMMEND = {
     "category_performance": lambda t: r.category_performance(
         t.items, t.transaction_headers, t.products, AS_OF),
     "recommendation_insights": lambda t: r.recommendation_insights(
-        _category_rules(t), r.category_correlation(_baskets(t, ALL_DAYS)), **INSIGHT),
+        _category_rules(t), _category_scores(t), **INSIGHT),
     "recommendation_strategies": lambda t: _rounded(r.recommendation_strategies(
-        _category_rules(t), r.category_correlation(_baskets(t, ALL_DAYS)), min_lift=INSIGHT["min_lift"],
+        _category_rules(t), _category_scores(t), min_lift=INSIGHT["min_lift"],
         min_score=INSIGHT["min_score"]), 8, "score"),
 }
 

@@ -505,6 +505,9 @@ RECOMMEND = {
         f"select a, b, round(score, 8) score from ({_TOP.format('cosine', 5)}) where a = {PRODUCT_ID}",
         **_COSINE_CTES),
     "category_correlation": _basket_query("select a, b, round(score, 8) score from corr_pairs", **_CORR_CTES),
+    "category_correlation_full": _basket_query(
+        """select l.c a, r.c b, round(corr(cast(l.n as double), cast(r.n as double)), 8) score
+           from cells l join cells r on l.t = r.t group by all""", cells=_CORR_CTES["cells"]),
     "product_lookup": _with("products", f"""
         select product_id, name product_name, category from products where product_id = {PRODUCT_ID}"""),
     "bought_together": _basket_query(

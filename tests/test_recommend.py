@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as entry
+
 from tillwise.operators import recommend as r
 
 AS_OF = "2024-07-01"
@@ -192,3 +194,11 @@ def test_strategies(rules_corr, rows):
 def test_basket_lines(copurchase, rows):
     got = Counter(x[0] for x in rows(r.basket_lines(*copurchase, AS_OF), "transaction_id"))
     assert got == {1: 4, 2: 3, 3: 2, 5: 1}
+
+
+def test_insights_count_categories_that_never_meet(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, i, f"n{i}", f"c{i % 12}") for i in range(36)],
+                                  "transaction_id long, product_id long, product_name string, category string")
+    monkeypatch.setattr(entry, "_baskets", lambda t, days=90: lines)
+    got = entry.RECOMMEND["recommendation_insights"](None).first()
+    assert got["strong_category_pairs"] == 66  # each two of 12 correlate with -1/11
