@@ -12,6 +12,7 @@ from tillwise.llm.decontamination import contamination
 from tillwise.llm.exact_dedup import exact_dedup
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.language import identify, learn_languages
+from tillwise.llm.lexical_search import search
 from tillwise.llm.mixing import mixture
 from tillwise.llm.pii import KINDS, labelled_lines, personal_data, train
 from tillwise.llm.secrets import joined, secrets
@@ -95,11 +96,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc, op5_jaccard_join, op6_pii, op7_secrets, op8_language, op9_chat,
-                           op10_decontamination)}
+                           op10_decontamination, op11_lexical_search)}
 
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": r"""
+        with terms as (
+            select item_id, null doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark
+            union all
+            select null, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) from documents),
+        q as (select item_id, term, count(*) times from terms where doc_id is null group by all),
+        sizes as (select doc_id, count(*) n from terms where doc_id is not null group by all),
+        whole as (select count(*) docs, cast(sum(n) as bigint) words from sizes),
+        tf as (select doc_id, term, count(*) tf from terms where doc_id is not null and term in (select term from q) group by all),
+        w as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1))) as bigint) w
+              from (select term, count(*) df from tf group by term), whole),
+        scored as (
+            select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) as bigint) score
+            from q join w using (term) join tf using (term) join sizes using (doc_id), whole group by all),
+        ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) rank from scored where score > 0)
+        select item_id, rank, doc_id, score from ranked where rank <= 10""",
     "op9_chat": r"""
         with t as (
             select conv_id, turn, role, coalesce(text, '') t from conversations
