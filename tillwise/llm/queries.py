@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwise.llm.chat import conversation_digests, format_chat
 from tillwise.llm.decontamination import contamination
 from tillwise.llm.exact_dedup import exact_dedup
+from tillwise.llm.hard_negatives import hard_negatives
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.language import identify, learn_languages
 from tillwise.llm.lexical_search import search
@@ -100,11 +101,32 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc, op5_jaccard_join, op6_pii, op7_secrets, op8_language, op9_chat,
-                           op10_decontamination, op11_lexical_search)}
+                           op10_decontamination, op11_lexical_search, op12_hard_negatives)}
 
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": r"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
+            from embeddings
+            where label is not null and embedding is not null
+                  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        pairs as (select a.vec_id anchor_id, b.vec_id other, a.label = b.label same, cast(list_dot_product(a.q, b.q) as bigint) score
+                  from v a join v b on b.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+        p as (select anchor_id, other positive_id, score positive_score from pairs where same
+              qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+        select anchor_id, positive_id, positive_score, other negative_id, score negative_score,
+               cast(row_number() over (partition by anchor_id, positive_id order by score desc, other) as int) rank
+        from p join pairs using (anchor_id)
+        where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+        qualify rank <= 10""",
     "op11_lexical_search": r"""
         with terms as (
             select item_id, null doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
