@@ -14,6 +14,7 @@ from tillwise.llm.hard_negatives import hard_negatives
 from tillwise.llm.jaccard_join import jaccard_groups
 from tillwise.llm.language import identify, learn_languages
 from tillwise.llm.lexical_search import search
+from tillwise.llm.minhash import minhash_groups
 from tillwise.llm.mixing import mixture
 from tillwise.llm.pii import KINDS, labelled_lines, personal_data, train
 from tillwise.llm.secrets import joined, secrets
@@ -106,9 +107,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc, op5_jaccard_join, op6_pii, op7_secrets, op8_language, op9_chat,
-                           op10_decontamination, op11_lexical_search, op12_hard_negatives)}
+                           op10_decontamination, op11_lexical_search, op12_hard_negatives,
+                           op13_minhash)}
 
 ORACLES: dict[str, str] = {
     "op12_hard_negatives": r"""
