@@ -165,7 +165,7 @@ RECOMMEND = {
         "antecedent_support", "consequent_support", *_RULE_MEASURES),
     "rule_edges": lambda t: _rounded(r.rule_edges(_category_rules(t)), 8, "value"),
     "item_cosine": lambda t: _rounded(r.item_cosine(_baskets(t)), 8, "score"),
-    "similar_products": lambda t: _rounded(r.similar_products(r.item_cosine(_baskets(t))), 8, "score"),
+    "similar_products": lambda t: _rounded(r.similar_products(_baskets(t)), 8, "score"),
     "similar_to": lambda t: _rounded(r.similar_to(_baskets(t), PRODUCT_ID), 8, "score"),
     "category_correlation": lambda t: _rounded(r.category_correlation(_baskets(t)), 8, "score"),
     "category_correlation_full": lambda t: _rounded(r.category_correlation(_baskets(t), full=True), 8, "score"),

@@ -3,13 +3,17 @@
 import random
 from collections import Counter
 from itertools import combinations
+from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.plans.pairs import item_pairs, mirrored, partners_of, top_partners
+from tillwise.plans import partners
+from tillwise.plans.pairs import item_pairs, mirrored, partners_of
+from tillwise.plans.partners import best_partners
 from tillwise.plans.quantiles import exact_quantiles
 from tillwise.plans.ranking import top_per_key
 from tillwise.plans.running import running_total
@@ -122,28 +126,73 @@ def _overlapping(seed):
     return sorted(rows | {("all", i) for i in range(0, 100, 2)})
 
 
-@pytest.mark.parametrize("seed,k,hot_items", [(1, 3, 12), (2, 1, 12), (3, 10, 12), (4, 5, 40), (5, 4, 10_000), (6, 120, 12)])
-def test_top_partners_with_hot_groups(spark, seed, k, hot_items):
-    data = _overlapping(seed)
-    pairs = _brute_pairs(data)
+def _brute_partners(data, k):
     expected = {}
-    for (a, b), count in pairs.items():
+    for (a, b), count in _brute_pairs(data).items():
         expected.setdefault(a, []).append((-count, b))
         expected.setdefault(b, []).append((-count, a))
-    expected = {a: [(b, -c) for c, b in sorted(found)[:k]] for a, found in expected.items()}
+    return {a: [(b, -c) for c, b in sorted(found)[:k]] for a, found in expected.items()}
+
+
+def _as_lists(df):
     got = {}
-    df = spark.createDataFrame(data, "g string, i long")
-    for r in top_partners(df, "g", "i", k, hot_items=hot_items, block=9).collect():
-        got.setdefault(r["a"], []).append((r["b"], r["together"]))
-    assert {a: sorted(found, key=lambda x: (-x[1], x[0])) for a, found in got.items()} == expected
+    for r in df.collect():
+        got.setdefault(r["a"], []).append((r["b"], r["score"]))
+    return {a: sorted(found, key=lambda x: (-x[1], x[0])) for a, found in got.items()}
+
+
+@pytest.mark.parametrize("seed,k,large,heavy,block,bound", [
+    (1, 3, 12, 10_000, 300, 10), (2, 1, 12, 40, 50, 10), (3, 10, 12, 300, 10_000, 9_000), (4, 5, 40, 10_000, 10_000, 0),
+    (5, 4, 10_000, 10_000, 400, 0), (6, 120, 12, 100, 10_000, 30), (7, 4, 10_000, 200, 400, 100), (8, 7, 10_000, 10_000, 400, 9_000)])
+def test_best_partners(spark, monkeypatch, seed, k, large, heavy, block, bound):
+    """Large groups, heavy items, bounds and several blocks, together and each alone."""
+    for name, value in (("LARGE_GROUP", large), ("HEAVY_ITEM", heavy), ("BLOCK_MEMBERS", block), ("BOUND_FROM", max(bound, 1))):
+        monkeypatch.setattr(partners, name, value)
+    data = _overlapping(seed)
+    df = spark.createDataFrame([*data, (None, 3), ("g1", None)], "g string, i long")
+    assert _as_lists(best_partners(df, "g", "i", k)) == _brute_partners(data, k)
 
 
-def test_a_hot_group_is_not_expanded(spark):
+@pytest.mark.parametrize("seed,large,heavy,block,bound", [
+    (1, 10_000, 10_000, 300, 1), (2, 10_000, 100, 300, 50), (3, 12, 100, 300, 9_000), (4, 10_000, 10_000, 3_000, 9_000)])
+def test_best_partners_by_cosine(spark, monkeypatch, seed, large, heavy, block, bound):
+    for name, value in (("LARGE_GROUP", large), ("HEAVY_ITEM", heavy), ("BLOCK_MEMBERS", block), ("BOUND_FROM", bound)):
+        monkeypatch.setattr(partners, name, value)
+    rng = random.Random(seed)
+    data = [(g, i, rng.choice([1, 1, 2, 9])) for g, i in _overlapping(seed)]
+    of = {}
+    for g, i, w in data:
+        of.setdefault(i, {})[g] = w
+    square = {i: float(sum(w * w for w in x.values())) for i, x in of.items()}
+    expected = {}
+    for a in of:
+        found = [(-sum(w * of[b].get(g, 0) for g, w in of[a].items()) / sqrt(square[a] * square[b]), b) for b in of if a != b]
+        expected[a] = [(b, -s) for s, b in sorted(f for f in found if f[0])[:4]]
+    got = _as_lists(best_partners(spark.createDataFrame(data, "g string, i long, w int"), "g", "i", 4, "w"))
+    assert got == {a: x for a, x in expected.items() if x}
+
+
+def test_bounds_spare_large_groups():
+    """Once k partners share two groups, the one large group is not gone through."""
+    small = [[1, 2, 3, 4], [1, 2, 3, 4]]
+    lists = partners._Lists(pa.array(
+        [[{"i": i, "block": 0} for i in g] for g in [*small, list(range(1, 5000))]],
+        pa.list_(pa.struct([("i", pa.int64()), ("block", pa.int32())]))))
+    seen = []
+    met = lists.met
+    lists.met = lambda groups, weights: (seen.extend(groups), met(groups, weights))[1]
+    ids, score = partners._best(lists, 1, np.arange(3), np.ones(3), 1.0, np.array([]), 3, False)
+    assert ids.tolist() == [2, 3, 4] and score.tolist() == [3, 3, 3] and 2 not in seen
+
+
+def test_a_large_group_is_not_expanded(spark, monkeypatch):
     """4,000 items in one group would be 8 million pairs; k + 1 each are made."""
+    monkeypatch.setattr(partners, "LARGE_GROUP", 1_000)
     df = spark.range(4_000).select(F.lit("walk-in").alias("g"), F.col("id").alias("i"))
-    got = top_partners(df, "g", "i", 3, hot_items=1_000)
+    got = best_partners(df, "g", "i", 3)
     assert got.count() == 12_000
     assert {r["b"] for r in got.where("a = 2").collect()} == {0, 1, 3}
+    assert best_partners(df.where("false"), "g", "i", 3).count() == 0
 
 
 def test_top_per_key_breaks_ties(spark):

@@ -54,6 +54,20 @@ def test_rules_with_several_items_on_both_sides(baskets, support, confidence):
     assert all(got[k] == pytest.approx(expected[k]) for k in got)
 
 
+def test_rules_of_a_set_of_32_items(spark):
+    """Of its four thousand million splits only those that stay confident are tried."""
+    items = [f"i{n:02d}" for n in range(32)]
+    without = lambda *names: [x for x in items if x not in names]
+    sets = [(items, 50), (without("i03"), 60), (without("i07"), 200), (without("i03", "i07"), 250),
+            (["i03"], 900), (["i07"], 500), (["i03", "i07"], 450)]
+    sets = spark.createDataFrame([(*x, 1000) for x in sets], "items array<string>, freq long, n long")
+    rules = lambda confidence: {(len(x["antecedents"]), *x["consequents"]): x["confidence"]
+                                for x in r.rules_of_itemsets(sets, confidence).collect() if len(x["antecedents"]) > 1}
+    many = {(31, "i03"): 50 / 60, (30, "i03"): 200 / 250}
+    assert rules(0.6) == many
+    assert rules(0.2) == {**many, (31, "i07"): 50 / 200, (30, "i07"): 60 / 250, (30, "i03", "i07"): 50 / 250}
+
+
 def test_no_frequent_item(spark, baskets):
     assert r.association_rules(baskets, 0.9, 0.1).count() == 0
     assert r.association_rules(baskets.where("false"), 0.1, 0.1).count() == 0
@@ -84,7 +98,7 @@ def test_cosine_counts_lines(baskets):
 
 
 def test_similar_products_all_and_one(baskets, rows):
-    every = r.similar_products(r.item_cosine(baskets), 2)
+    every = r.similar_products(baskets, 2)
     for product in (1, 2, 3, 4):
         some = r.similar_to(baskets, product, 2)
         assert rows(some, "a", "b") == rows(every.where(every["a"] == product), "a", "b")

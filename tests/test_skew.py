@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
-from tillwise.plans import pairs
+from tillwise.plans import pairs, partners
 
 SOURCE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -35,13 +35,16 @@ def skewed(tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "customer_rfm", "customer_metrics", "extract_transactions", "abc_analysis", "inventory_abc",
-    "pair_rules", "association_rules", "item_cosine", "similar_to", "bought_together_all", "shared_customers_all",
+    "pair_rules", "association_rules", "item_cosine", "similar_to", "similar_products", "bought_together_all", "shared_customers_all",
     "category_correlation", "daily_demand", "forecast_accuracy",
 ])
 def test_query_on_skewed_data(spark, skewed, monkeypatch, name):
     directory, duck = skewed
-    # Small enough that the hot customer and transaction count as such here.
-    monkeypatch.setattr(pairs.top_partners, "__kwdefaults__", {"hot_items": 50, "block": 32})
+    # Small enough that the hot customer, transaction and product count as such here.
+    monkeypatch.setattr(pairs.item_pairs, "__kwdefaults__", {"block": 32})
+    monkeypatch.setattr(partners, "LARGE_GROUP", 50)
+    monkeypatch.setattr(partners, "HEAVY_ITEM", 2_000)
+    monkeypatch.setattr(partners, "BLOCK_MEMBERS", 5_000)
     got = entry.queries()[name](spark, directory).toPandas()
     assert len(got) > 0
     assert compare(got, duck.execute(entry.oracle_sql()[name]).df()).startswith("ok")

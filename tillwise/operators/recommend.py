@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import days_before, exact
 from ..plans.durable import written_once
-from ..plans.pairs import item_pairs, mirrored, partners_of, top_partners
-from ..plans.ranking import top_per_key
+from ..plans.pairs import item_pairs, mirrored, partners_of
+from ..plans.partners import best_partners
 
 
 def _recent(transactions: DataFrame, as_of, days_back: int | None, *columns: str) -> DataFrame:
@@ -106,26 +108,42 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01,
 
 def association_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5,
                       item: str = "product_name") -> DataFrame:
-    """Association rules with any number of items on both sides.
+    """Association rules with any number of items on both sides."""
+    return rules_of_itemsets(frequent_itemsets(baskets, min_support, item), min_confidence)
+
+
+def rules_of_itemsets(sets: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """The rules that split an itemset of ``sets`` (items in order, freq, n) in two parts
+    which are among them too, with at least ``min_confidence``.
 
-    Every frequent itemset is split in all ways; the supports of both parts are
-    joined from the itemsets, where each part must be, being frequent itself.
+    Consequents grow by one item a round. Moving an item to the consequent can only lower
+    the confidence, so a consequent is tried only if it is confident without its last item,
+    and that item alone is. Rounds end with the longest confident consequent; work follows
+    the rules there are, not the ways to split a set. Runs jobs when called.
     """
-    sets = frequent_itemsets(baskets, min_support, item)
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    chosen = lambda i: F.col("mask").bitwiseAND(bit(i)) != 0
-    split = (
-        sets.where(F.size("items") > 1)
-        .withColumn("mask", F.explode(F.sequence(
-            F.lit(1).cast("long"), bit(F.size("items")) - 2)))
-        .select("freq", "n", F.filter("items", lambda _, i: chosen(i)).alias("antecedents"),
-                F.filter("items", lambda _, i: ~chosen(i)).alias("consequents"))
-    )
-    part = lambda name: sets.select(F.col("items").alias(name), F.col("freq").alias(f"{name}_freq"))
+    support = lambda name: sets.select(F.col("items").alias(name), F.col("freq").alias(f"{name}_freq"))
+
+    def confident(tried: DataFrame) -> DataFrame:
+        known = tried.join(support("antecedents"), "antecedents")
+        return known.where(F.col("freq") / F.col("antecedents_freq") >= min_confidence)
+
+    single = sets.where(F.size("items") > 1).select("items", "freq", "n", F.explode("items").alias("last")).select(
+        "items", "freq", "n", F.array_remove("items", F.col("last")).alias("antecedents"), F.array("last").alias("consequents"))
+    single = written_once(confident(single), "rules")
+    ends = single.groupBy("items").agg(F.flatten(F.collect_list("consequents")).alias("ends"))
+    found, now = [single], single.where(F.size("antecedents") > 1).join(ends, "items")
+    for _ in range(2, sets.agg(F.max(F.size("items"))).first()[0] or 0):
+        later = F.filter("ends", lambda end: end > F.element_at("consequents", -1))
+        grown = now.withColumn("last", F.explode(later)).select(
+            "items", "freq", "n", "ends", F.array_remove("antecedents", F.col("last")).alias("antecedents"),
+            F.array_append("consequents", F.col("last")).alias("consequents"))
+        grown = written_once(confident(grown), "rules")
+        if grown.isEmpty():
+            break
+        found.append(grown.drop("ends"))
+        now = grown.where(F.size("antecedents") > 1).drop("antecedents_freq")
     return (
-        split.join(part("antecedents"), "antecedents")
-        .where(F.col("freq") / F.col("antecedents_freq") >= min_confidence)
-        .join(part("consequents"), "consequents")
+        reduce(DataFrame.unionByName, found).join(support("consequents"), "consequents")
         .select(
             "antecedents", "consequents",
             (F.col("antecedents_freq") / F.col("n")).alias("antecedent_support"),
@@ -164,9 +182,10 @@ def item_cosine(baskets: DataFrame) -> DataFrame:
     return mirrored(scored)
 
 
-def similar_products(cosine: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` most similar other products of every product."""
-    return top_per_key(cosine, "a", n, F.col("score").desc(), F.col("b"))
+def similar_products(baskets: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` most similar other products of every product by ``item_cosine``, without
+    a row for every pair."""
+    return best_partners(_line_counts(baskets, "product_id"), "transaction_id", "product_id", n, "lines")
 
 
 def similar_to(baskets: DataFrame, product_id: int, n: int = 5) -> DataFrame:
@@ -242,6 +261,10 @@ def _described(pairs: DataFrame, products: DataFrame, other: str, count: str) ->
         F.col(f"{other}_category"), F.col("together").alias(count))
 
 
+def _together(rows: DataFrame, group: str, k: int) -> DataFrame:
+    return best_partners(rows, group, "product_id", k).select("a", "b", F.col("score").cast("long").alias("together"))
+
+
 def _best(partners: DataFrame, product_id: int, k: int) -> DataFrame:
     return (
         partners.select(F.lit(product_id).cast("long").alias("a"), F.col("product_id").alias("b"), "together")
@@ -273,7 +296,7 @@ def bought_together_all(items: DataFrame, transactions: DataFrame, products: Dat
                         k: int = 5, days_back: int = 90) -> DataFrame:
     """``bought_together`` for every product in one job."""
     rows = _recent_rows(items, transactions, products, as_of, days_back)
-    return _described(top_partners(rows, "transaction_id", "product_id", k), products, "related", "co_purchase_count")
+    return _described(_together(rows, "transaction_id", k), products, "related", "co_purchase_count")
 
 
 def _customer_products(items: DataFrame, transactions: DataFrame, products: DataFrame) -> DataFrame:
@@ -302,7 +325,7 @@ def shared_customers_all(items: DataFrame, transactions: DataFrame, products: Da
                          k: int = 10) -> DataFrame:
     """``shared_customers`` for every product in one job."""
     rows = _customer_products(items, transactions, products)
-    return _described(top_partners(rows, "customer_id", "product_id", k), products, "similar", "common_customers")
+    return _described(_together(rows, "customer_id", k), products, "similar", "common_customers")
 
 
 # -- categories and advice -------------------------------------------------------
