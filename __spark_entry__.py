@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle_queries import (
@@ -17,6 +17,7 @@ from tillwise.operators import inventory as i
 from tillwise.operators import loading as l
 from tillwise.operators import recommend as r
 from tillwise.operators import sales as s
+from tillwise.operators import series_models as m
 from tillwise.plans.durable import new_path
 from tillwise.sources.tables import RetailTables
 
@@ -219,8 +220,17 @@ FORECAST = {
 }
 
 
-def _product_forecast(t: RetailTables, product_id: int | None = None) -> DataFrame:
+def _r2() -> Column:
+    """Of a hopeless series R2 is so large that 4 decimals are beyond a double."""
+    return F.when(F.abs("r2") > 1e6, F.round("r2", -4)).otherwise(F.round("r2", 4))
+
+
+def _product_models(t: RetailTables) -> DataFrame:
     """Products sell on few days: clipping outliers would leave constants."""
+    return m.demand_models(t.items, t.transaction_headers, AS_OF, periods=PERIODS, clip_outliers=False)
+
+
+def _product_forecast(t: RetailTables, product_id: int) -> DataFrame:
     series = f.daily_demand_since_start(t.items, t.transaction_headers, AS_OF, product_id=product_id)
     return f.seasonal_trend_forecast(series, PERIODS, clip_outliers=False)
 
@@ -230,8 +240,11 @@ FORECAST |= {
         t.items, t.transaction_headers, AS_OF, product_id=PRODUCT_ID),
     "product_forecast": lambda t: _rounded(_product_forecast(t, PRODUCT_ID).drop("seasons"), 4, *_MODEL),
     "product_forecast_accuracy": lambda t: _rounded(
-        f.forecast_accuracy(_product_forecast(t)), 4, "mae", "mape", "rmse", "r2"),
-    "product_forecast_advice": lambda t: f.forecast_advice(_product_forecast(t)),
+        m.model_accuracy(_product_models(t)), 4, "mae", "mape", "rmse").withColumn("r2", _r2()),
+    "product_forecast_advice": lambda t: m.model_advice(_product_models(t)),
+    "product_seasonal_patterns": lambda t: _rounded(m.model_patterns(_product_models(t)), 6, "value"),
+    "product_future_forecast": lambda t: _rounded(
+        m.model_forecast(_product_models(t), PERIODS), 4, *(c for c in _MODEL if c != "y")),
     "fourier_normal_equations": lambda t: _rounded(f.fourier_normal_equations(_series(t), PERIODS), 6, "residual"),
 }
 

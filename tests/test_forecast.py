@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.operators import forecast as f
+from tillwise.operators import series_models as m
 
 SERIES = "series_id string, ds date, y double"
 DAY0 = date(2023, 1, 1)  # a Sunday
@@ -170,6 +171,50 @@ def test_view(spark):
     assert {r["view"]: r["count"] for r in views} == {"Historical": 30, "Forecast": 3}
 
 
+# -- models of many series -----------------------------------------------------------------
+
+def _sold(spark, n, **series):
+    """Days with sales only, and the same as a full grid."""
+    sales = [(name, DAY0 + timedelta(days=d), None if y is None else float(y)) for name, found in series.items() for d, y in found.items()]
+    grid = [(name, DAY0 + timedelta(days=d), 0.0 if d not in found else None if found[d] is None else float(found[d]))
+            for name, found in series.items() for d in range(n)]
+    return spark.createDataFrame(sales, SERIES), spark.createDataFrame(grid, SERIES)
+
+
+def _sparse(seed, n, share):
+    draw = np.random.default_rng(seed)
+    return {int(d): int(draw.integers(1, 9)) for d in range(n) if draw.random() < share}
+
+
+@pytest.mark.parametrize("n,clip", [(30, True), (120, False), (120, True), (800, False), (800, True)])
+def test_models_say_what_the_grid_says(spark, n, clip):
+    """Sparse series: one model row each, against the forecast over every day."""
+    sales, grid = _sold(spark, n, rare=_sparse(1, n, 0.02) | {3: 2}, often=_sparse(2, n, 0.7), late={n - 1: 5},
+                        all=_sparse(3, n, 1.1), gaps={0: None, 1: 4, 5: None, 9: 2, n - 1: None}, minus={2: -3, 8: 4, 9: 0})
+    end = F.lit(DAY0 + timedelta(days=n - 1))
+    models = m.series_models(sales, F.lit(DAY0), end, periods=20, clip_outliers=clip)
+    forecast = f.seasonal_trend_forecast(grid, 20, clip_outliers=clip)
+
+    def same(a, b, *keys):
+        a, b = (x.toPandas().sort_values(list(keys)).reset_index(drop=True) for x in (a, b.select(*a.columns)))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-6, atol=1e-6)
+
+    same(m.model_accuracy(models), f.forecast_accuracy(forecast), "series_id")
+    same(m.model_forecast(models, 20), forecast.where("part = 'future'"), "series_id", "ds")
+    same(m.model_advice(models), f.forecast_advice(forecast), "series_id", "advice")
+    same(m.model_patterns(models), f.seasonal_patterns(forecast), "series_id", "pattern", "position")
+
+
+def test_models_of_short_and_no_series(spark):
+    sales, _ = _sold(spark, 6, a={0: 1, 5: 2})
+    models = m.series_models(sales, F.lit(DAY0), F.lit(DAY0 + timedelta(days=5)))
+    assert [tuple(r) for r in m.model_accuracy(models).collect()] == [("a", 0, None, None, None, None, f.TOO_SHORT)]
+    assert m.model_forecast(models).count() == m.model_patterns(models).count() == m.model_advice(models).count() == 0
+    assert m.series_models(sales.where("false"), F.lit(DAY0), F.lit(DAY0)).count() == 0
+    # Sales outside the days asked for are left out.
+    assert m.series_models(sales, F.lit(DAY0 + timedelta(days=1)), F.lit(DAY0 + timedelta(days=4))).count() == 0
+
+
 # -- Fourier model ----------------------------------------------------------------------
 
 def test_fourier_follows_trend_and_week(spark):

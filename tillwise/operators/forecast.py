@@ -319,6 +319,12 @@ def forecast_advice(forecast: DataFrame) -> DataFrame:
         F.try_divide(F.max_by("trend", "ds"), F.min_by("trend", "ds")).alias("change"),
         F.filter(F.array(*weekdays), lambda v: v.isNotNull()).alias("week"),
         F.when(F.count(error) >= 3, F.avg(error) * 100).alias("mape"))
+    return advice_of(summary)
+
+
+def advice_of(summary: DataFrame) -> DataFrame:
+    """``summary`` (series_id, change, week, mape) -> ``(series_id, advice)``; ``week`` holds
+    the weekdays' effects."""
     size = F.size("week")
     mean = F.aggregate("week", F.lit(0.0), lambda s, v: s + v) / size
     spread = F.aggregate("week", F.lit(0.0), lambda s, v: s + (v - F.col("week_mean")) * (v - F.col("week_mean")))
