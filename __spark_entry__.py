@@ -245,7 +245,8 @@ FORECAST |= {
     "product_seasonal_patterns": lambda t: _rounded(m.model_patterns(_product_models(t)), 6, "value"),
     "product_future_forecast": lambda t: _rounded(
         m.model_forecast(_product_models(t), PERIODS), 4, *(c for c in _MODEL if c != "y")),
-    "fourier_normal_equations": lambda t: _rounded(f.fourier_normal_equations(_series(t), PERIODS), 6, "residual"),
+    "fourier_normal_equations": lambda t: _rounded(
+        f.fourier_normal_equations(f.fourier_trend_forecast(_series(t), PERIODS)), 4, "residual"),
 }
 
 _BY_TABLES = {**CUSTOMERS, **SALES, **INVENTORY, **RECOMMEND, **FORECAST}

@@ -723,7 +723,7 @@ FORECAST |= {
         f'select series_id, pattern, "position", "label", round(v, 6) "value" from ({_PATTERNS})'),
     "product_future_forecast": _product_query(
         f"select series_id, ds, {_FORECAST_COLS.removeprefix('round(y, 4) y, ')} from forecast where part = 'future'"),
-    # Of the ridge fit, its own equations: what they leave is 0.
+    # What the fit leaves has nothing in common with what it could use.
     "fourier_normal_equations": _forecast_query("""
         select series_id, count(*) filter (part = 'train') train_days, count(*) filter (part = 'test') test_days,
                count(*) filter (part = 'future') future_days, 0.0::double residual from extended group by 1""", *_MULTI[:3], {

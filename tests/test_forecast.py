@@ -217,6 +217,70 @@ def test_models_of_short_and_no_series(spark):
 
 # -- Fourier model ----------------------------------------------------------------------
 
+def _planted(n, noise, seed=0):
+    """A line that bends once, times a week and a year."""
+    t = np.arange(n)
+    trend = np.where(t < 300, 100 + 0.1 * t, 130 + 0.5 * (t - 300))
+    season = 1 + 0.3 * np.sin(2 * np.pi * t / 7) + 0.2 * np.cos(2 * np.pi * t / 365.25)
+    return trend, season, trend * season * (1 + noise * np.random.default_rng(seed).normal(size=n))
+
+
+def test_fourier_recovers_a_multiplicative_series(spark):
+    trend, season, y = _planted(800, 0.01)
+    got = f.fourier_trend_forecast(_frame(spark, s=y.tolist()), 20).toPandas().sort_values("ds").iloc[:800]
+    train = (got["part"] == "train").to_numpy()
+    error = np.abs(got["yhat"].to_numpy() / (trend * season) - 1)
+    assert error[train].mean() < 0.01 and error[~train].mean() < 0.02
+    # The swing grows with the trend, which an additive model cannot do.
+    found = (got["yhat"] / got["trend"]).to_numpy()
+    assert np.corrcoef(found, season)[0, 1] > 0.995
+    assert np.ptp(got["yhat"].to_numpy()[-14:]) > 1.5 * np.ptp(got["yhat"].to_numpy()[:14])
+
+
+def test_fourier_bends_are_few(spark):
+    """The Laplace prior leaves most of the 25 bends at exactly 0, all but those beside the
+    planted one."""
+    _, _, y = _planted(800, 0.05)
+    got = f.fourier_trend_forecast(_frame(spark, s=y.tolist()), 1).toPandas().sort_values("ds")
+    slopes = np.diff(got["trend"].to_numpy()[:600])
+    bends = np.flatnonzero(np.abs(np.diff(slopes)) > 1e-9 * np.abs(slopes).max())
+    assert len(bends) and np.abs(bends - 299).max() < 30
+
+
+def test_fourier_bounds_widen_beyond_the_training_days(spark):
+    _, _, y = _planted(500, 0.02)
+    got = f.fourier_trend_forecast(_frame(spark, s=y.tolist()), 60).toPandas().sort_values("ds")
+    width = (got["yhat_upper"] - got["yhat_lower"]).to_numpy()
+    train = (got["part"] == "train").to_numpy()
+    assert np.ptp(width[train]) < 1e-6 * width[0] and width[-1] > width[train][0] * 1.05
+    assert (np.diff(width[~train]).mean()) > 0
+
+
+def test_fourier_leaves_nothing_it_could_use(spark):
+    _, _, y = _planted(700, 0.05)
+    forecast = f.fourier_trend_forecast(_frame(spark, s=y.tolist(), flat=[5] * 80, short=_wave(6)), 10)
+    got = {r["series_id"]: r for r in f.fourier_normal_equations(forecast).collect()}
+    assert set(got) == {"s", "flat"} and (got["s"]["train_days"], got["s"]["test_days"], got["s"]["future_days"]) == (560, 140, 10)
+    assert got["s"]["residual"] < 1e-4
+    wrong = forecast.withColumn("yhat", F.col("yhat") * (1 + 0.02 * F.sin(F.dayofweek("ds") * 0.9)))
+    assert f.fourier_normal_equations(wrong).where("series_id = 's'").first()["residual"] > 0.05
+
+
+def test_sparse_fit_is_optimal():
+    """Against the conditions of its minimum."""
+    draw = np.random.default_rng(4)
+    a = draw.normal(size=(60, 12)).cumsum(0)
+    y = a[:, :3] @ [1, -2, 0.5] + draw.normal(size=60)
+    price = np.r_[0, 0, np.full(10, 8.0)]
+    w = np.zeros(12)
+    for _ in range(30):
+        w = f._sparse_fit(a.T @ a, a.T @ y, price, w)
+    slope = a.T @ (a @ w - y)
+    on = w != 0
+    assert 0 < (~on).sum()
+    assert slope[on] == pytest.approx(-price[on] * np.sign(w[on]), abs=1e-6) and (np.abs(slope[~on]) <= price[~on] + 1e-6).all()
+
+
 def test_fourier_follows_trend_and_week(spark):
     values = [(100 + 0.2 * i) * WEEK[i % 7] for i in range(400)]
     got = f.fourier_trend_forecast(_frame(spark, s=values, short=_wave(6)), 14).toPandas().sort_values("ds")
