@@ -11,10 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.plans import partners
+from tillwise.plans import partners, quantiles
 from tillwise.plans.pairs import item_pairs, mirrored, partners_of
 from tillwise.plans.partners import best_partners
-from tillwise.plans.quantiles import exact_quantiles
+from tillwise.plans.quantiles import exact_quantiles, ordered_bits, ordered_value
 from tillwise.plans.ranking import top_per_key
 from tillwise.plans.running import running_total
 
@@ -48,6 +48,33 @@ def test_quantiles_beyond_the_sketch(spark):
         assert row[f"{name}_few"] is False
 
 
+def test_quantiles_of_any_double(spark):
+    """Signs, zeros, powers of two and their neighbours, the smallest and the largest."""
+    ends = [0.0, -0.0, 5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.7976931348623157e308, 1e-310]
+    powers = [x for e in range(-40, 60, 7) for x in (2.0 ** e, np.nextafter(2.0 ** e, 0), np.nextafter(2.0 ** e, np.inf))]
+    rng = np.random.default_rng(8)
+    values = np.array([s * x for x in [*ends, *powers, *rng.lognormal(0, 40, 300)] for s in (1, -1)])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    steps = np.arange(len(values)) / (len(values) - 1)
+    got = exact_quantiles(df, ["x"], [float(p) for p in steps[::7]]).first()["x_q"]
+    ranks = [p * (len(values) - 1) for p in steps[::7]]
+    s = np.sort(values)
+    assert got == [s[int(np.floor(r))] + (s[int(np.ceil(r))] - s[int(np.floor(r))]) * (r - np.floor(r)) for r in ranks]
+    bits = df.select("x", ordered_bits(F.col("x")).alias("b")).collect()
+    assert all(ordered_value(r["b"]) == r["x"] for r in bits)
+
+
+def test_quantiles_of_close_values_and_of_nothing(spark, monkeypatch):
+    """Values that differ in their last bits only need every round."""
+    monkeypatch.setattr(quantiles, "ROUND_BITS", 8)
+    values = [1 + i * 2.0 ** -52 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(3)], "x double")
+    row = exact_quantiles(df, ["x"], [0.5, 1.0]).first()
+    assert row["x_q"] == [float(np.quantile(np.repeat(values, 3), 0.5)), values[-1]] and row["x_few"] is False
+    row = exact_quantiles(df.where("false"), ["x"], [0.5]).first()
+    assert row["x_q"] is None and row["x_few"] is True
+
+
 @pytest.mark.parametrize("values,few", [([1, 2, 3] * 5, True), ([1, 2, 3, 4], False), ([7, 7], True)])
 def test_few_distinct_values(spark, values, few):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
