@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.plans import partners, quantiles
+from tillwise.plans import partners, quantiles, running
 from tillwise.plans.pairs import item_pairs, mirrored, partners_of
 from tillwise.plans.partners import best_partners
 from tillwise.plans.quantiles import exact_quantiles, ordered_bits, ordered_value
@@ -81,9 +81,10 @@ def test_few_distinct_values(spark, values, few):
     assert exact_quantiles(df, ["x"], [0.5]).first()["x_few"] is few
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 200])
-def test_running_total_equals_a_plain_window(spark, ranges):
+@pytest.mark.parametrize("ranges,node", [(1, 1024), (3, 1024), (200, 1024), (200, 8), (90, 90), (91, 7)])
+def test_running_total_equals_a_plain_window(spark, monkeypatch, ranges, node):
     """A third of the rows share one value: only the ids can split them."""
+    monkeypatch.setattr(running, "NODE", node)
     rng = random.Random(5)
     data = [(i, 12.5 if rng.random() < 0.34 else round(rng.uniform(0, 100), 2)) for i in range(20_000)]
     df = spark.createDataFrame(data, "id long, v double").repartition(6)
@@ -94,8 +95,10 @@ def test_running_total_equals_a_plain_window(spark, ranges):
     assert set(got["total"]) == {expected[-1]}
 
 
-def test_running_total_spreads_a_hot_value(spark):
+@pytest.mark.parametrize("node", [1024, 4])
+def test_running_total_spreads_a_hot_value(spark, monkeypatch, node):
     """No range holds more than a small part of the rows."""
+    monkeypatch.setattr(running, "NODE", node)
     df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).otherwise(4.0).alias("v"))
     got = running_total(df, "v", [-F.col("v"), F.col("id")], ranges=20)
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
