@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from tillwise.operators import customers as c
@@ -102,3 +103,35 @@ def test_value_and_clusters(tx_small, rows):
     rfm = c.rfm_metrics(tx_small, AS_OF, days_back=400)
     clusters = c.customer_kmeans(rfm, k=2).collect()
     assert len(clusters) == 3 and {r["cluster"] for r in clusters} == {0, 1}
+
+
+def test_clusters_do_not_depend_on_layout(spark):
+    """Equal under 1 and 64 partitions, and those of a plain loop."""
+    draw = np.random.default_rng(11)
+    data = [(i, int(r), int(n), float(round(m, 2))) for i, (r, n, m) in enumerate(zip(
+        draw.integers(0, 300, 900), draw.integers(1, 40, 900), draw.lognormal(5, 1, 900)))]
+    rfm = spark.createDataFrame(data, "customer_id long, recency int, frequency long, monetary double")
+    found = [{r["customer_id"]: r["cluster"] for r in c.customer_kmeans(rfm.repartition(n, "monetary")).collect()} for n in (1, 64)]
+    assert found[0] == found[1]
+
+    points = np.array([x[1:] for x in data], float)
+    scale = points.std(axis=0, ddof=1)
+    apart = lambda centres: (((points[:, None] - np.array(centres)) / scale) ** 2).sum(2)
+    centres = [points.mean(0)]
+    while len(centres) < 4:
+        centres.append(points[apart(centres).min(1).argmax()])
+    for _ in range(c.KMEANS_ROUNDS):
+        near = apart(centres).argmin(1)
+        before, centres = centres, [points[near == j].mean(0) for j in range(len(centres)) if (near == j).any()]
+        if len(before) == len(centres) and (((np.array(before) - centres) / scale) ** 2).sum(1).max() <= c.KMEANS_MOVE ** 2:
+            break
+    assert [found[0][x[0]] for x in data] == apart(sorted(map(tuple, centres))).argmin(1).tolist()
+
+
+def test_clusters_of_few_customers(spark):
+    schema = "customer_id long, recency int, frequency long, monetary double"
+    same = spark.createDataFrame([(i, 5, 2, 9.5) for i in range(6)], schema)
+    assert {r["cluster"] for r in c.customer_kmeans(same).collect()} == {0}
+    two = spark.createDataFrame([(1, 5, 2, 9.5), (2, 50, 2, 9.5), (3, 50, 2, 9.5)], schema)
+    assert {r["customer_id"]: r["cluster"] for r in c.customer_kmeans(two).collect()} == {1: 0, 2: 1, 3: 1}
+    assert c.customer_kmeans(same.where("false")).count() == 0

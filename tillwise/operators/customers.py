@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from decimal import Decimal
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import (
-    days_before, elapsed_days, exact_avg, exact_sum, half_even, percent_of, timestamp,
+    days_before, elapsed_days, exact, exact_avg, exact_sum, half_even, percent_of, timestamp,
 )
+from ..plans.durable import written_once
 from ..plans.quantiles import exact_quantiles, quartile_score
 
 RFM = ["recency", "frequency", "monetary"]
@@ -229,27 +230,66 @@ def customer_summary(customers: DataFrame, transactions: DataFrame) -> DataFrame
     )
 
 
-def customer_kmeans(rfm: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+#: Most rounds of moving the centres, and the move, in standard deviations, that ends them.
+KMEANS_ROUNDS, KMEANS_MOVE = 40, 1e-3
+
+
+def _scales(points: DataFrame) -> tuple[list[float], list[float]]:
+    """Means and sample standard deviations (to 6 digits) from exact sums."""
+    whole = F.struct(F.count("*").alias("n"), *[F.sum(c).alias(f"{c}_sum") for c in RFM], *[
+        F.sum((F.col(c) * F.col(c)).cast("decimal(38,8)")).alias(f"{c}_squares") for c in RFM])
+    row = points.agg(whole.alias("w")).first()["w"]
+    n = row["n"]
+    if not n:
+        return [], []
+    spread = [n * Decimal(row[f"{c}_squares"]) - Decimal(row[f"{c}_sum"]) ** 2 for c in RFM]
+    return ([float(row[f"{c}_sum"]) / n for c in RFM],
+            [round(sqrt(float(x) / (n * max(n - 1, 1))), 6) or 1.0 for x in spread])
+
+
+def _distances(centres: list[list[float]], scale: list[float]) -> Column:
+    """Squared distances to the centres, in standard deviations."""
+    part = "(cast({0} as double) - {1!r}D) / {2!r}D * ((cast({0} as double) - {1!r}D) / {2!r}D)"
+    return F.expr("array({})".format(", ".join(
+        " + ".join(part.format(*x) for x in zip(RFM, centre, scale)) for centre in centres)))
+
+
+def _nearest(centres: list[list[float]], scale: list[float]) -> Column:
+    distances = _distances(centres, scale)
+    return F.array_position(distances, F.array_min(distances)) - 1
+
+
+def customer_kmeans(rfm: DataFrame, k: int = 4) -> DataFrame:
     """K-means clusters on standardised recency, frequency and monetary value.
 
-    Clusters are numbered by their centres, the most recent buyers first. Fitting
-    reads the vectors several times, so they are kept while it runs. The start of
-    the fit depends on how the rows are spread, so another layout may end in other
-    clusters; ``kmeans_summary`` says whether they are clusters.
+    The start is farthest first: the mean of all, then whoever is farthest from the centres
+    so far, the smallest customer_id among equals. Then centres move to the means of their
+    customers until all but stand. A centre without customers is given up, so there are no more
+    clusters than different customers. Sums are exact: the clusters depend on the rows, not on
+    how they are spread. Clusters are numbered by their centres, the most recent buyers first.
+    Runs a job per round when called; what is collected is a row per cluster.
     """
-    vectors = VectorAssembler(inputCols=RFM, outputCol="raw").transform(rfm)
-    kept = vectors.select("raw").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(kept)
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(
-            scaler.transform(kept))
-    finally:
-        kept.unpersist()
-    centres = [tuple(float(v) for v in centre) for centre in model.clusterCenters()]
-    number = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-    renumber = F.create_map(*[F.lit(v) for pair in number.items() for v in pair])
-    return model.transform(scaler.transform(vectors)).withColumn("cluster", renumber[F.col("cluster")]).drop(
-        "raw", "features")
+    points = written_once(rfm.select("customer_id", F.col("recency").cast("decimal(18,4)").alias("recency"),
+                                     F.col("frequency").cast("decimal(18,4)").alias("frequency"),
+                                     exact("monetary").alias("monetary")), "points")
+    mean, scale = _scales(points)
+    if not mean:
+        return rfm.withColumn("cluster", F.lit(0))
+    centres = [mean]
+    while len(centres) < k:
+        apart = F.array_min(_distances(centres, scale))
+        far = points.agg(F.max(F.struct(apart.alias("apart"), (-F.col("customer_id")).alias("last"), *RFM)).alias("far")).first()["far"]
+        if far["apart"] == 0:
+            break
+        centres.append([float(far[c]) for c in RFM])
+    for _ in range(KMEANS_ROUNDS):
+        moved = points.groupBy(_nearest(centres, scale).alias("cluster")).agg(
+            F.count("*").alias("n"), *[F.sum(c).alias(c) for c in RFM]).collect()
+        before, centres = centres, [[float(r[c]) / r["n"] for c in RFM] for r in sorted(moved, key=lambda r: r["cluster"])]
+        if len(before) == len(centres) and all(sum(((x - y) / s) ** 2 for x, y, s in zip(a, b, scale)) <= KMEANS_MOVE ** 2
+                                               for a, b in zip(before, centres)):
+            break
+    return rfm.withColumn("cluster", _nearest(sorted(centres), scale).cast("int"))
 
 
 def kmeans_summary(clustered: DataFrame) -> DataFrame:
