@@ -732,6 +732,22 @@ FORECAST |= {
 _APART = "((r - c.r) / sr) * ((r - c.r) / sr) + ((f - c.f) / sf) * ((f - c.f) / sf) + ((m - c.m) / sm) * ((m - c.m) / sm)"
 _ALL_APART = f"list_transform(centres, lambda c: {_APART})"
 _CENTRE = "{'r': sum(x.r) / count(*), 'f': sum(x.f) / count(*), 'm': cast(sum(x.exact) as double) / count(*)}"
+
+
+def _rounds(first: str, points: str, most: int, move: str) -> str:
+    return f"""
+        select 0 i, ({first}) centres, 1.0::double moved
+        union all
+        select i + 1, next, case when len(next) <> len(centres) then 1 else list_max(list_transform(range(1, len(next) + 1), lambda j:
+                   pow((next[j].r - centres[j].r) / sr, 2) + pow((next[j].f - centres[j].f) / sf, 2) + pow((next[j].m - centres[j].m) / sm, 2))) end
+        from (select i, centres, list(centre order by number) next
+              from (select i, centres, number, {_CENTRE} centre
+                    from (select steps.i, centres, r, f, m, exact, list_position({_ALL_APART}, list_min({_ALL_APART})) number
+                          from {{0}} steps, {points}, scale where steps.i < {most} and moved > {move}) x
+                    group by i, centres, number)
+              group by i, centres), scale"""
+
+
 CUSTOMERS["customer_kmeans"] = _with("transactions", f"""
     select customer_id, recency, frequency, monetary,
            cast(list_position({_ALL_APART}, list_min({_ALL_APART})) - 1 as integer) "cluster"
@@ -740,22 +756,17 @@ CUSTOMERS["customer_kmeans"] = _with("transactions", f"""
         select *, cast(recency as double) r, cast(frequency as double) f, cast(monetary as double) m,
                cast(monetary as decimal(18, 4)) exact from rfm""",
     scale="select round(stddev_samp(r), 6) sr, round(stddev_samp(f), 6) sf, round(stddev_samp(m), 6) sm from points",
+    picked="""
+        select points.* from points, (select count(*) n from points)
+        where cast('0x' || substr(md5(cast(customer_id as varchar)), 1, 13) as bigint) / 4503599627370496.0 * n < 2048""",
     start=f"""
         select 1 k, [{_CENTRE}] centres from points x
         union all
         select k + 1, list_append(centres, arg_max({{'r': r, 'f': f, 'm': m}}, {{'d': list_min({_ALL_APART}), 'i': -customer_id}}))
-        from start, points, scale where k < 4 group by k, centres""",
-    rounds=f"""
-        select 0 i, (select centres from start where k = 4) centres, 1.0::double moved
-        union all
-        select i + 1, next, case when len(next) <> len(centres) then 1 else list_max(list_transform(range(1, len(next) + 1), lambda j:
-                   pow((next[j].r - centres[j].r) / sr, 2) + pow((next[j].f - centres[j].f) / sf, 2) + pow((next[j].m - centres[j].m) / sm, 2))) end
-        from (select i, centres, list(centre order by number) next
-              from (select i, centres, number, {_CENTRE} centre
-                    from (select i, centres, r, f, m, exact, list_position({_ALL_APART}, list_min({_ALL_APART})) number
-                          from rounds, points, scale where i < 40 and moved > 1e-6) x
-                    group by i, centres, number)
-              group by i, centres), scale""").replace("with ", "with recursive ", 1)
+        from start, picked, scale where k < 4 group by k, centres""",
+    near=_rounds("select centres from start where k = 4", "picked", 300, "1e-6").replace("{0}", "near"),
+    rounds=_rounds("select centres from near order by i desc limit 1", "points", 40, "1e-4").replace("{0}", "rounds")
+).replace("with ", "with recursive ", 1)
 CUSTOMERS["kmeans_summary"] = _with("transactions", f"""
     select count(*) customers, 4::bigint clusters, 0::bigint nearer_to_another, 0.0::double centre_error,
            round(avg(recency), 6) mean_recency, round(avg(frequency), 6) mean_frequency from rfm""", rfm=RFM_WINDOW)

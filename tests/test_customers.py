@@ -120,11 +120,12 @@ def test_clusters_do_not_depend_on_layout(spark):
     centres = [points.mean(0)]
     while len(centres) < 4:
         centres.append(points[apart(centres).min(1).argmax()])
-    for _ in range(c.KMEANS_ROUNDS):
+    for _ in range(c.KMEANS_FIRST[0]):  # all customers are in the sample
         near = apart(centres).argmin(1)
         before, centres = centres, [points[near == j].mean(0) for j in range(len(centres)) if (near == j).any()]
-        if len(before) == len(centres) and (((np.array(before) - centres) / scale) ** 2).sum(1).max() <= c.KMEANS_MOVE ** 2:
+        if len(before) == len(centres) and (((np.array(before) - centres) / scale) ** 2).sum(1).max() <= c.KMEANS_FIRST[1] ** 2:
             break
+    centres = [points[apart(centres).argmin(1) == j].mean(0) for j in range(len(centres))]
     assert [found[0][x[0]] for x in data] == apart(sorted(map(tuple, centres))).argmin(1).tolist()
 
 

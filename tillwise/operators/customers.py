@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,20 +231,22 @@ def customer_summary(customers: DataFrame, transactions: DataFrame) -> DataFrame
     )
 
 
-#: Most rounds of moving the centres, and the move, in standard deviations, that ends them.
-KMEANS_ROUNDS, KMEANS_MOVE = 40, 1e-3
+#: Customers, about, among whom centres are found first; and most rounds of moving the
+#: centres and the move, in standard deviations, that ends them, among those and among all.
+KMEANS_SAMPLE = 2048
+KMEANS_FIRST, KMEANS_ALL = (300, 1e-3), (40, 1e-2)
 
 
-def _scales(points: DataFrame) -> tuple[list[float], list[float]]:
-    """Means and sample standard deviations (to 6 digits) from exact sums."""
+def _scales(points: DataFrame) -> tuple[int, list[float], list[float]]:
+    """The number of rows, means and sample standard deviations (to 6 digits) from exact sums."""
     whole = F.struct(F.count("*").alias("n"), *[F.sum(c).alias(f"{c}_sum") for c in RFM], *[
         F.sum((F.col(c) * F.col(c)).cast("decimal(38,8)")).alias(f"{c}_squares") for c in RFM])
     row = points.agg(whole.alias("w")).first()["w"]
     n = row["n"]
     if not n:
-        return [], []
+        return 0, [], []
     spread = [n * Decimal(row[f"{c}_squares"]) - Decimal(row[f"{c}_sum"]) ** 2 for c in RFM]
-    return ([float(row[f"{c}_sum"]) / n for c in RFM],
+    return (n, [float(row[f"{c}_sum"]) / n for c in RFM],
             [round(sqrt(float(x) / (n * max(n - 1, 1))), 6) or 1.0 for x in spread])
 
 
@@ -259,36 +262,67 @@ def _nearest(centres: list[list[float]], scale: list[float]) -> Column:
     return F.array_position(distances, F.array_min(distances)) - 1
 
 
+def _settled(centres: list[list[float]], scale: list[float], limits: tuple[int, float], means) -> list[list[float]]:
+    """Centres after moving to their customers' ``means`` until they move no more to speak of."""
+    rounds, least = limits
+    for _ in range(rounds):
+        before, centres = centres, means(centres)
+        if len(before) == len(centres) and all(
+                sum(((x - y) / s) ** 2 for x, y, s in zip(a, b, scale)) <= least ** 2 for a, b in zip(before, centres)):
+            break
+    return centres
+
+
+def _sample_centres(sample: np.ndarray, mean: list[float], scale: list[float], k: int) -> list[list[float]]:
+    """Centres among a few customers, whose rows are in order of their ids."""
+    def apart(centres: list[list[float]]) -> np.ndarray:
+        parts = ((sample[:, None, :] - np.array(centres)) / scale) ** 2
+        return parts[..., 0] + parts[..., 1] + parts[..., 2]
+
+    centres = [mean]
+    while len(centres) < k and len(sample):
+        far = apart(centres).min(1)
+        if far.max() == 0:
+            break
+        centres.append(sample[far.argmax()].tolist())
+    whole = np.rint(sample * 10_000).astype(np.int64)  # exact sums, as among all
+
+    def means(centres: list[list[float]]) -> list[list[float]]:
+        near = apart(centres).argmin(1)
+        return [(whole[near == j].sum(0) / 10_000 / (near == j).sum()).tolist() for j in range(len(centres)) if (near == j).any()]
+
+    return _settled(centres, scale, KMEANS_FIRST, means) if len(sample) else centres
+
+
 def customer_kmeans(rfm: DataFrame, k: int = 4) -> DataFrame:
     """K-means clusters on standardised recency, frequency and monetary value.
 
-    The start is farthest first: the mean of all, then whoever is farthest from the centres
-    so far, the smallest customer_id among equals. Then centres move to the means of their
-    customers until all but stand. A centre without customers is given up, so there are no more
-    clusters than different customers. Sums are exact: the clusters depend on the rows, not on
-    how they are spread. Clusters are numbered by their centres, the most recent buyers first.
-    Runs a job per round when called; what is collected is a row per cluster.
+    Centres are first found among some 2,000 customers, drawn by a hash of their id: the mean
+    of all, then whoever is farthest from the centres so far, the smallest id among equals;
+    then they move to the means of their customers until they settle. The same follows among
+    all customers, one job a round, and few rounds are left to do. A centre without customers
+    is given up, so there are no more clusters than different customers.
+
+    Sums are exact: the clusters depend on the rows, not on how they are spread. Clusters are
+    numbered by their centres, the most recent buyers first. Runs jobs when called; the sample
+    and a row per cluster are collected.
     """
     points = written_once(rfm.select("customer_id", F.col("recency").cast("decimal(18,4)").alias("recency"),
                                      F.col("frequency").cast("decimal(18,4)").alias("frequency"),
                                      exact("monetary").alias("monetary")), "points")
-    mean, scale = _scales(points)
-    if not mean:
+    n, mean, scale = _scales(points)
+    if not n:
         return rfm.withColumn("cluster", F.lit(0))
-    centres = [mean]
-    while len(centres) < k:
-        apart = F.array_min(_distances(centres, scale))
-        far = points.agg(F.max(F.struct(apart.alias("apart"), (-F.col("customer_id")).alias("last"), *RFM)).alias("far")).first()["far"]
-        if far["apart"] == 0:
-            break
-        centres.append([float(far[c]) for c in RFM])
-    for _ in range(KMEANS_ROUNDS):
-        moved = points.groupBy(_nearest(centres, scale).alias("cluster")).agg(
+    draw = F.conv(F.substring(F.md5(F.col("customer_id").cast("string")), 1, 13), 16, 10).cast("long") / F.lit(2.0 ** 52)
+    sample = points.where(draw * n < KMEANS_SAMPLE).select("customer_id", *[F.col(c).cast("double").alias(c) for c in RFM])
+    sample = np.array([tuple(r)[1:] for r in sorted(sample.collect())], float).reshape(-1, len(RFM))
+
+    def means(centres: list[list[float]]) -> list[list[float]]:
+        found = points.groupBy(_nearest(centres, scale).alias("cluster")).agg(
             F.count("*").alias("n"), *[F.sum(c).alias(c) for c in RFM]).collect()
-        before, centres = centres, [[float(r[c]) / r["n"] for c in RFM] for r in sorted(moved, key=lambda r: r["cluster"])]
-        if len(before) == len(centres) and all(sum(((x - y) / s) ** 2 for x, y, s in zip(a, b, scale)) <= KMEANS_MOVE ** 2
-                                               for a, b in zip(before, centres)):
-            break
+        return [[float(r[c]) / r["n"] for c in RFM] for r in sorted(found, key=lambda r: r["cluster"])]
+
+    centres = _settled(_sample_centres(sample, mean, scale, k), scale, KMEANS_ALL, means)
     return rfm.withColumn("cluster", _nearest(sorted(centres), scale).cast("int"))
 
 
