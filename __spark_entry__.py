@@ -12,6 +12,7 @@ from oracle_queries import (
     STORE_ID,
 )
 from tillwise.operators import customers as c
+from tillwise.operators import daily_kpis as d
 from tillwise.operators import forecast as f
 from tillwise.operators import inventory as i
 from tillwise.operators import loading as l
@@ -46,6 +47,14 @@ def _loaded_twice(spark: SparkSession, load: Callable, *tables: DataFrame) -> Da
     return spark.read.parquet(path)
 
 
+def _kpis_of_days(spark: SparkSession, t: RetailTables) -> DataFrame:
+    """Days stored in three loads, one of them twice."""
+    path = new_path(spark, "days")
+    for first, last in (("1990-01-01", "2001-05-31"), ("2001-06-01", "2001-07-31"), ("2001-06-01", "2001-07-31"), (AS_OF, AS_OF)):
+        d.store_months(t.transaction_headers, t.items, path, first, last)
+    return _rounded(d.stored_kpis(spark, path, t.inventory, AS_OF, KPI_DAYS), 6, "value", "previous", "change")
+
+
 CUSTOMERS = {
     "rfm_metrics": _rfm,
     "rfm_codes": lambda t: c.rfm_codes(_rfm(t)),
@@ -81,6 +90,8 @@ SALES = {
         s.store_performance(t.transactions, t.stores, None, AS_OF), 6, "performance"),
     **{f"bundle_{name}": (lambda t, name=name: l.extract_bundle(t, STOCK_AS_OF)[name])
        for name in ("transaction_data", "inventory_data", "product_data", "customer_data")},
+    "table_probe": lambda t: l.has_rows({"transactions": t.transactions, "items": t.items, "products": t.products,
+                                         "none": t.products.where("product_id is null")}),
     "extract_bundle": lambda t: l.bundle_sizes(l.extract_bundle(t, STOCK_AS_OF)),
 }
 
@@ -280,6 +291,7 @@ def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, sf_dir) and returns a frame. Most are
     lazy; those that fit a model, mine itemsets or load a table run jobs when called."""
     found = {name: _over_tables(job) for name, job in _BY_TABLES.items()}
+    found["kpis_of_days"] = lambda spark, sf_dir: _kpis_of_days(spark, RetailTables(spark, sf_dir))
     found["load_customer_metrics"] = lambda spark, sf_dir: _loaded_twice(
         spark, l.load_customer_metrics, RetailTables(spark, sf_dir).transaction_headers)
     found["load_product_metrics"] = lambda spark, sf_dir: _rounded(_loaded_twice(

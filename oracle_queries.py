@@ -771,6 +771,11 @@ CUSTOMERS["kmeans_summary"] = _with("transactions", f"""
     select count(*) customers, 4::bigint clusters, 0::bigint nearer_to_another, 0.0::double centre_error,
            round(avg(recency), 6) mean_recency, round(avg(frequency), 6) mean_frequency from rfm""", rfm=RFM_WINDOW)
 SALES |= {
+    "kpis_of_days": SALES["kpis"],
+    "table_probe": _with("transactions items products", """
+        select 'transactions' name, exists (select * from transactions) has_rows
+        union all select 'items', exists (select * from items) union all select 'products', exists (select * from products)
+        union all select 'none', exists (select * from products where product_id is null)"""),
     "bundle_transaction_data": SALES["transaction_lines"], "bundle_inventory_data": INVENTORY["inventory_snapshot"],
     "bundle_product_data": SALES["product_catalog"], "bundle_customer_data": CUSTOMERS["customer_summary"],
     "load_product_metrics": INVENTORY["product_metrics"],

@@ -1,8 +1,9 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 
-from tillwise.operators import loading, sales
+from tillwise.operators import daily_kpis, loading, sales
 from tillwise.operators.customers import customer_metrics
 from tillwise.sources import storage
 from tillwise.sources.tables import SCHEMAS, RetailTables, read_table
@@ -79,6 +80,32 @@ def test_kpis_over_two_periods(spark):
     assert got["total_sales"]["value"] * (1 - change / 100) == pytest.approx(70.0)
 
 
+def test_kpis_of_stored_days(spark, tmp_path):
+    """Months stored one by one, out of order and twice, say what all transactions say; a
+    month that comes late is added without reading the others."""
+    rng = random.Random(6)
+    start = datetime(2024, 1, 1)
+    tx = spark.createDataFrame([
+        (i, 1, rng.choice([None, rng.randrange(60), 40_000 + rng.randrange(9)]), None, start + timedelta(hours=rng.randrange(24 * 150)),
+         rng.randrange(100) / 4, "Cash") for i in range(600)], TX)
+    items = spark.createDataFrame([(i, i % 5) for i in range(600) if i % 7], "transaction_id long, quantity int")
+    stock = spark.createDataFrame([(40,)], "quantity int")
+    path = str(tmp_path / "days")
+    for month in (2, 1, 4, 1):
+        daily_kpis.store_months(tx, items, path, f"2024-0{month}-01", f"2024-0{month}-09")
+    daily_kpis.store_months(tx.where("month(transaction_date) in (3, 5)"), items, path, "2024-03-07", "2024-03-20")
+    daily_kpis.store_months(tx.where("month(transaction_date) in (3, 5)"), items, path, "2024-05-01", "2024-05-02")
+    for end, days in (("2024-05-20", 30), ("2024-05-20", 7), ("2024-03-31", 20), ("2024-02-01", 30), ("2023-01-01", 5)):
+        want = {r["metric"]: r for r in sales.kpis(tx, items, stock, end, days).collect()}
+        got = {r["metric"]: r for r in daily_kpis.stored_kpis(spark, path, stock, end, days).collect()}
+        assert got == want
+
+
+def test_has_rows(spark, tx):
+    got = {r["name"]: r["has_rows"] for r in loading.has_rows({"all": tx, "none": tx.where("false")}).collect()}
+    assert got == {"all": True, "none": False}
+
+
 def test_store_performance(tx, shops, rows):
     got = rows(sales.store_performance(tx, shops, "2024-06-01", "2024-07-01"),
                "store_id", "sales", "orders", "average_sale", "performance")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,14 @@ def bundle_sizes(bundle: dict[str, DataFrame]) -> DataFrame:
     """``(name, rows)`` of every extract."""
     counts = [frame.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
               for name, frame in bundle.items()]
-    result = counts[0]
-    for frame in counts[1:]:
-        result = result.unionByName(frame)
-    return result
+    return reduce(DataFrame.unionByName, counts)
+
+
+def has_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """``(name, has_rows)``: whether there is anything in each frame. One row of it is read."""
+    found = [frame.limit(1).agg(F.lit(name).alias("name"), (F.count(F.lit(1)) > 0).alias("has_rows"))
+             for name, frame in frames.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def load_customer_metrics(transactions: DataFrame, path: str) -> None:

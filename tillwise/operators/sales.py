@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_before, exact, exact_sum, timestamp
@@ -106,7 +106,13 @@ def kpis(transactions: DataFrame, items: DataFrame, inventory: DataFrame, end, d
         .agg(F.struct(*[F.sum(F.when(in_period(p), F.col("quantity"))).alias(f"units{p}")
                         for p in (0, 1)]).alias("s"))
     )
-    one_row = transactions.sparkSession.range(1).select(
+    return kpi_rows(transactions.sparkSession, sales, kept, units, inventory)
+
+
+def kpi_rows(spark: SparkSession, sales: DataFrame, kept: DataFrame, units: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The four KPIs from one struct each of sales and orders, customers who came back, and
+    units, by period."""
+    one_row = spark.range(1).select(
         sales.scalar().alias("sales"), kept.scalar().alias("kept"), units.scalar().alias("units"),
         inventory.agg(F.sum("quantity")).scalar().alias("on_hand"))
     sales, kept, units, on_hand = (F.col(name) for name in one_row.columns)
