@@ -360,7 +360,7 @@ def _holidays(days: pd.Series) -> np.ndarray:
 
 def _sparse_fit(gram: np.ndarray, moment: np.ndarray, price: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The weights that minimise ``w gram w / 2 - moment w + price |w|``: accelerated
-    proximal steps, then an exact solution for the signs they end with, if it has them."""
+    proximal steps, then an exact solution for the signs they end with, if that is better."""
     size = np.sqrt(np.diag(gram))
     a, b, c, now = gram / np.outer(size, size), moment / size, price / size, start * size
     step, ahead, speed = 1 / np.linalg.eigvalsh(a)[-1], now, 1.0
@@ -369,11 +369,17 @@ def _sparse_fit(gram: np.ndarray, moment: np.ndarray, price: np.ndarray, start:
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * c, 0)
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead, now, speed = new + (speed - 1) / faster * (new - now), new, faster
-    some = (now != 0) | (price == 0)
-    exact = np.zeros_like(now)
-    exact[some] = np.linalg.solve(a[np.ix_(some, some)], b[some] - c[some] * np.sign(now[some]))
-    agrees = (np.sign(exact[some]) == np.sign(now[some])) | (price[some] == 0)
-    return (exact if agrees.all() else now) / size
+    # Exact for the signs found; a weight that would change its sign is let go.
+    signs, some, exact = np.sign(now), (now != 0) | (price == 0), np.zeros_like(now)
+    while True:
+        exact[:] = 0
+        exact[some] = np.linalg.solve(a[np.ix_(some, some)], b[some] - c[some] * signs[some])
+        wrong = some & (price > 0) & (np.sign(exact) != signs)
+        if not wrong.any():
+            break
+        some &= ~wrong
+    cost = lambda w: w @ (a @ w) / 2 - b @ w + c @ np.abs(w)
+    return min(exact, now, key=cost) / size
 
 
 def _fourier_fit(frame: pd.DataFrame, z: float) -> pd.DataFrame:
@@ -438,7 +444,8 @@ def fourier_normal_equations(forecast: DataFrame) -> DataFrame:
     """Per series the training, test and future days, and ``residual``: the largest
     correlation that training residuals have with anything the model could still use, the
     line or a wave, each as it enters the forecast. 0 for the most likely parameters, but
-    for their priors. Computed from the forecast's rows alone.
+    for their priors, and where the residuals are no more than rounding. Computed from the
+    forecast's rows alone.
     """
     t = F.datediff("ds", F.min("ds").over(_all_days())).cast("double")
     train = F.count_if(F.col("part") == "train").over(_all_days())
@@ -456,5 +463,6 @@ def fourier_normal_equations(forecast: DataFrame) -> DataFrame:
     part = lambda name: F.count_if(F.col("part") == name).alias(f"{name}_days")
     alike = [F.coalesce(F.try_divide(F.abs(total(F.col(c) * error)), F.sqrt(total(F.col(c) * F.col(c)) * total(error * error))), F.lit(0.0))
              for c in terms]
+    exact = total(error * error) <= 1e-18 * total(F.col("y") * F.col("y"))
     return rows.groupBy("series_id").agg(
-        part("train"), part("test"), part("future"), F.greatest(*alike).alias("residual"))
+        part("train"), part("test"), part("future"), F.when(exact, 0.0).otherwise(F.greatest(*alike)).alias("residual"))
