@@ -350,3 +350,20 @@ def test_extra_columns_with_clashing_names(spark):
     assert exact_dedup(docs).count() == jaccard_groups(docs).count() == mixing.mixture(docs).count() == 2
     for stage in (without_duplicates, one_per_group, mixing.mixed_rows):
         assert set(docs.columns) <= set(stage(docs).columns) and stage(docs).count() >= 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names of the operators' own columns, in other cases and with underscores, come out as they went in."""
+    from pyspark.sql import functions as F
+    own = ["sha", "gone_id", "Gone_Sha", "position", "_POSITION", "of", "Target", "source_size", "_copies", "copies", "gone",
+           "_sha", "text_sha256", "kept", "component_id", "a.b"]
+    same = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, same, "en", "s", 3), (2, same, "en", "s", 3), (3, "eight nine", "en", None, 3)], DOCUMENTS)
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    for stage, stay in ((without_duplicates, {1, 3}), (one_per_group, {1, 3}), (mixing.mixed_rows, {1, 2, 3})):
+        got = stage(docs)
+        rows = got.collect()
+        assert got.columns[:len(docs.columns)] == docs.columns and {r.doc_id for r in rows} <= stay and rows
+        assert all(r[5:5 + len(own)] == tuple(range(len(own))) for r in rows)
+    copies = mixing.mixed_rows(docs.withColumn("Copy", F.lit(77)))
+    assert copies.columns == [*docs.columns, "copy"] and max(r["copy"] for r in copies.collect()) < 2

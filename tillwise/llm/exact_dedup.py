@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.sketch import position, positions, split_by_id
+from tillwise.llm.sketch import position, positions, split_by_id, unused
 from tillwise.plans.durable import written_once
 
 #: Characters of the normalised text whose hash is the second key.
@@ -64,11 +64,13 @@ def exact_dedup(docs: DataFrame, digests: bool = False) -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows with the
-    doc_id and text that stay, one. Only texts that have a duplicate are shuffled."""
+    doc_id and text that stay, one. Only texts that have a duplicate are shuffled. Other
+    columns may have any names."""
+    sha, gone_id, gone_sha = unused(docs, "sha", "gone_id", "gone_sha")
     groups = exact_dedup(docs).filter("group_size > 1")
-    lost = written_once(groups.select("doc_id", F.col("text_sha256").alias("_sha"), "kept"), "duplicates")
+    lost = written_once(groups.select("doc_id", "text_sha256", "kept"), "duplicates")
     apart, maybe = split_by_id(docs, lost.select("doc_id"))
-    gone = lost.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_gone")).distinct()
-    maybe = maybe.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    stay = maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]) & (maybe["_sha"] == gone["_gone"]), "left_anti")
-    return apart.unionByName(stay.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    gone = lost.filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
+    maybe = maybe.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    stay = maybe.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
+    return apart.unionByName(stay.dropDuplicates(["doc_id", sha]).drop(sha))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.sketch import position, positions, split_by_id
+from tillwise.llm.sketch import position, positions, split_by_id, unused
 from tillwise.llm.textscan import mix, scan_words
 from tillwise.plans.components import components
 from tillwise.plans.durable import written_once
@@ -334,10 +334,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their group, with all their columns: one
     document of each group, and all that are in none. Rows that share a doc_id stay or go
-    together, and stay if any of them would."""
+    together, and stay if any of them would. Other columns may have any names."""
     groups = jaccard_groups(docs, words, percent)
     lost = groups.groupBy("doc_id").agg(F.bool_and(~F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("lost"))
     lost = written_once(lost.filter("lost").select("doc_id"), "near")
     apart, maybe = split_by_id(docs, lost)
-    gone = lost.select(F.col("doc_id").alias("_gone"))
-    return apart.unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_gone"]), "left_anti"))
+    [name] = unused(docs, "gone")
+    gone = lost.select(F.col("doc_id").alias(name))
+    return apart.unionByName(maybe.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.llm.sketch import unused
 from tillwise.plans.durable import written_once
 
 #: Hex digits of the document's hash that make its uniform number.
@@ -60,15 +61,18 @@ def _sized(docs: DataFrame) -> DataFrame:
     return written_once(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
 
 
-def _with_copies(rows: DataFrame, sized: DataFrame, weights: Sequence[int], share: float, most: int, seed: int) -> DataFrame:
-    """``rows`` with their source's size and target, and copies. The targets are written
-    first: read back, their size is known and decides whether they are broadcast."""
+def _with_copies(rows: DataFrame, sized: DataFrame, weights: Sequence[int], share: float, most: int,
+                 seed: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` with their source's size and target, and copies, and the names of the three.
+    The targets are written first: read back, their size is known and decides whether they
+    are broadcast."""
+    of, size, target, copies = unused(rows, "of", "source_size", "target", "copies")
     targets = written_once(source_targets(sized, weights, share, most).select(
-        F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), "targets")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+        F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target)), "targets")
+    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return rows.join(targets, rows["source"].eqNullSafe(targets["_of"])).withColumn(
-        "_copies", whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long"))
+    return rows.join(targets, F.col("source").eqNullSafe(F.col(of))).withColumn(
+        copies, whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")), [size, target, copies]
 
 
 def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2,
@@ -85,15 +89,17 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     source of its own. Columns beside the three are not read.
     """
     sized = _sized(docs)
-    return _with_copies(sized, sized, weights, share, most, seed).select(
-        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        F.col("_copies").alias("copies"), (F.col("_copies") * F.col("size")).alias("taken"))
+    copied, names = _with_copies(sized, sized, weights, share, most, seed)
+    return copied.select("doc_id", "source", "size", *names, (F.col(names[-1]) * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2,
                seed: int = 0) -> DataFrame:
     """Every document as often as ``mixture`` takes it: the columns of ``docs``, and
-    ``copy``, counted from 0, in place of any column of that name."""
-    columns = [c for c in docs.columns if c != "copy"]
-    copied = _with_copies(docs.select(*columns), _sized(docs), weights, share, most, seed).filter("_copies > 0")
-    return copied.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias("copy"))
+    ``copy``, counted from 0, in place of any column of that name in any case. Other
+    columns may have any names."""
+    rows = docs.drop(*[c for c in docs.columns if c.lower() == "copy"])
+    copied, names = _with_copies(rows, _sized(docs), weights, share, most, seed)
+    copies = F.col(names[-1])
+    return copied.filter(copies > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1))).drop(*names, *unused(rows, "of"))

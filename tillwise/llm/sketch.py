@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 POSITIONS = 1 << 20
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it differ, in any case,
+    from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def position(*key: Column) -> Column:
     """The position of a key. Equal keys have equal positions; others rarely."""
     return F.pmod(F.xxhash64(*key), F.lit(POSITIONS))
@@ -25,6 +38,7 @@ def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two parts by the one column of ``ids``, of the same name: rows whose id
     is certainly not among them, which need no shuffle, and the others, few of which are
     not. Together they are all rows. Null is an id."""
-    at = positions(ids).withColumnRenamed("position", "_position")
-    key = position(F.col(ids.columns[0])) == F.col("_position")
+    [name] = unused(docs, "position")
+    at = positions(ids).withColumnRenamed("position", name)
+    key = position(F.col(ids.columns[0])) == F.col(name)
     return docs.join(F.broadcast(at), key, "left_anti"), docs.join(F.broadcast(at), key, "left_semi")
