@@ -20,6 +20,7 @@ from tillwise.operators import recommend as r
 from tillwise.operators import sales as s
 from tillwise.operators import series_models as m
 from tillwise.plans.durable import new_path
+from tillwise.sources.keyed import read_keyed
 from tillwise.sources.tables import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,14 @@ def _loaded_twice(spark: SparkSession, load: Callable, *tables: DataFrame) -> Da
     return spark.read.parquet(path)
 
 
+def _loaded_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers loaded by key in two overlapping loads, and once more."""
+    sales, path = RetailTables(spark, sf_dir).transaction_headers, new_path(spark, "keyed")
+    for some in (sales.where("pmod(customer_id, 3) < 2"), sales.where("pmod(customer_id, 3) > 0"), sales):
+        l.load_customer_metrics_keyed(some, path)
+    return read_keyed(spark, path)
+
+
 def _kpis_of_days(spark: SparkSession, t: RetailTables) -> DataFrame:
     """Days stored in three loads, one of them twice."""
     path = new_path(spark, "days")
@@ -294,6 +303,7 @@ def queries() -> dict[str, Query]:
     found["kpis_of_days"] = lambda spark, sf_dir: _kpis_of_days(spark, RetailTables(spark, sf_dir))
     found["load_customer_metrics"] = lambda spark, sf_dir: _loaded_twice(
         spark, l.load_customer_metrics, RetailTables(spark, sf_dir).transaction_headers)
+    found["load_customer_metrics_keyed"] = _loaded_in_parts
     found["load_product_metrics"] = lambda spark, sf_dir: _rounded(_loaded_twice(
         spark, l.load_product_metrics, _transformed(RetailTables(spark, sf_dir))), 6, "turnover_rate")
     return {**found, **_corpus()[0]}

@@ -194,6 +194,7 @@ CUSTOMERS = {
         from transactions where customer_id is not null group by customer_id"""),
 }
 CUSTOMERS["load_customer_metrics"] = CUSTOMERS["customer_metrics"]
+CUSTOMERS["load_customer_metrics_keyed"] = CUSTOMERS["customer_metrics"]
 
 # -- sales -------------------------------------------------------------------------
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.keyed import load_keyed
 from ..sources.storage import load_new_records
 from ..sources.tables import RetailTables
 from .customers import customer_metrics, customer_summary
@@ -48,6 +49,12 @@ def load_customer_metrics(transactions: DataFrame, path: str) -> None:
     load_new_records(customer_metrics(transactions), path, ["customer_id"])
 
 
+def load_customer_metrics_keyed(transactions: DataFrame, path: str) -> int:
+    """The same for a table by key (``sources.keyed``): only the buckets of the customers in
+    ``transactions`` are read, and loads may run at the same time. Returns the new version."""
+    return load_keyed(customer_metrics(transactions), path, ["customer_id"])
+
+
 def load_product_metrics(transformed_inventory: DataFrame, path: str) -> None:
     """Adds the products not yet in the ``product_metrics`` table at ``path``."""
     load_new_records(product_metrics(transformed_inventory), path, ["product_id"])
