@@ -367,3 +367,13 @@ def test_stages_keep_columns_of_any_name(spark):
         assert all(r[5:5 + len(own)] == tuple(range(len(own))) for r in rows)
     copies = mixing.mixed_rows(docs.withColumn("Copy", F.lit(77)))
     assert copies.columns == [*docs.columns, "copy"] and max(r["copy"] for r in copies.collect()) < 2
+
+
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+    from tillwise.llm.textscan import slices
+    texts = ["ab" * 5, None, "", "x" * 100, "y", "ä" * 6, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "text"]).slice(1)
+    got = [s.column(0).to_pylist() for s in slices(batch, 1, 3, 13)]
+    assert got == [[1, 2], [3], [4, 5, 6]]
+    assert list(slices(batch.slice(0, 0), 1, 3, 13)) == []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.sketch import position, positions, split_by_id, unused
-from tillwise.llm.textscan import mix, scan_words
+from tillwise.llm.textscan import mix, scan_words, slices
 from tillwise.plans.components import components
 from tillwise.plans.durable import written_once
 
@@ -42,6 +42,8 @@ SKETCH_BITS = 18
 
 #: Documents whose tokens are dealt out together; 16 bits number them.
 _RUN = 8192
+#: Bytes of texts, or of sets, dealt out together, about: a task holds several times that.
+_RUN_BYTES = 8 << 20
 _SCANNED = "part int, run long, doc_id long, n long, fp long, fp2 long, place int, tokens binary, owners binary"
 _COUNTED = "run long, doc_id long, n long, fp long, fp2 long, place int, shared long"
 
@@ -100,7 +102,8 @@ def _dealt(ids: pa.Array, sets: list[np.ndarray], parts: int) -> Iterator[pa.Rec
     owner = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
     part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, low_bits, owner = part[order], tokens[order].astype(np.uint32), owner[order]
+    part, low_bits, owner = part[order], tokens.astype(np.uint32)[order], owner[order]
+    del tokens, order
     edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
     none, pairs = pa.nulls(len(edges) - 1, pa.int64()), list(zip(edges, edges[1:]))
     yield pa.RecordBatch.from_arrays(
@@ -111,15 +114,13 @@ def _dealt(ids: pa.Array, sets: list[np.ndarray], parts: int) -> Iterator[pa.Rec
 
 def _scan_texts(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, _RUN):
-            some = batch.slice(low, _RUN)
+        for some in slices(batch, 1, _RUN, _RUN_BYTES):
             yield from _dealt(some.column(0), list(shingle_sets(some.column(1), words)), parts)
 
 
 def _scan_sets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, _RUN):
-            some = batch.slice(low, _RUN)
+        for some in slices(batch, 1, _RUN, _RUN_BYTES):
             yield from _dealt(some.column(0), [np.frombuffer(x, np.uint64) for x in some.column(1).to_pylist()], parts)
 
 
@@ -148,6 +149,7 @@ def _count_shared(table: pa.Table) -> pa.Table:
     token = np.concatenate(tokens)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
+    del tokens, order
     same = np.zeros(len(token), bool)
     same[1:] = token[1:] == token[:-1]
     same[:-1] |= same[1:]
@@ -161,11 +163,12 @@ def _count_shared(table: pa.Table) -> pa.Table:
 
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column(0), words))
-        prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["fp", "fp2", "tokens"])
+        for some in slices(batch, 0, _RUN, _RUN_BYTES):
+            sets = list(shingle_sets(some.column(0), words))
+            prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["fp", "fp2", "tokens"])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are scanned in runs of about so many bytes, which bounds the scratch arrays.
 CHUNK_BYTES = 1 << 21
@@ -78,6 +79,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows, whose values in a text or binary
+    column have about ``size`` bytes together, more only where one row has more."""
+    length = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
+    before = np.concatenate(([0], np.cumsum(length)))
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(before, before[first] + size, "right")) - 1
+        last = min(max(last, first + 1), first + rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def scan_words(column: pa.Array, between: np.ndarray = SPACE) -> Iterator[Words]:
     """The words of every text, in chunks of whole texts. ``between`` marks the bytes
     that end a word: white space, or ``SPACE_OR_SIGN``."""

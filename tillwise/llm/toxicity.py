@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.textscan import CHUNK_BYTES
+from tillwise.llm.textscan import CHUNK_BYTES, slices
 from tillwise.plans.durable import written_once
 
 # Look-alikes of Latin letters in Cyrillic, Greek and other alphabets.
@@ -253,20 +253,10 @@ class _Matcher:
         return total, words
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or "")
-        if size >= CHUNK_BYTES:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def _density(matcher: _Matcher, texts: list[str | None]) -> np.ndarray:
-    parts = [(0.0 + s) / (n + matcher.lexicon.extra_words) for s, n in map(matcher.sums, _chunks(texts))]
+def _density(matcher: _Matcher, batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """Of every text of a column, of which a few are held as strings at a time."""
+    sums = (matcher.sums(some.column(column).to_pylist()) for some in slices(batch, column, batch.num_rows, CHUNK_BYTES))
+    parts = [(0.0 + s) / (n + matcher.lexicon.extra_words) for s, n in sums]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -274,14 +264,14 @@ def _densities(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[
     matcher = _Matcher(lexicon)
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_density(matcher, batch.column(0).to_pylist())), batch.column(1)], ["density", "toxic"])
+            [pa.array(_density(matcher, batch, 0)), batch.column(1)], ["density", "toxic"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     matcher = _Matcher(lexicon)
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        d = _density(matcher, batch.column(at).to_pylist())
+        d = _density(matcher, batch, at)
         score = d / (d + lexicon.level * 7 / 3)
         yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(score)],
                                          [*(n for n in batch.schema.names if n != "text"), "score"])
@@ -303,7 +293,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) ->
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _Matcher(lexicon)
         for batch in batches:
-            d = _density(matcher, batch.column(batch.schema.get_field_index("text")).to_pylist())
+            d = _density(matcher, batch, batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(d / (d + lexicon.level * 7 / 3) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
