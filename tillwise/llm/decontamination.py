@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.textscan import SPACE_OR_SIGN, mix, scan_words
+from tillwise.llm.textscan import SPACE_OR_SIGN, give_back, mix, scan_words
 
 #: Items that one broadcast index holds; more are taken in turn.
 ITEMS_PER_INDEX = 20_000
@@ -191,6 +191,7 @@ def _clean(batches: Iterator[pa.RecordBatch], held, **limits: float) -> Iterator
         keep = np.ones(batch.num_rows, bool)
         keep[[h[0] for h in _hits(held.value, text, **limits)]] = False
         yield batch.filter(pa.array(keep))
+        give_back()
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

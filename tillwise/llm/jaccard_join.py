@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.sketch import position, positions, split_by_id, unused
-from tillwise.llm.textscan import mix, scan_words, slices
+from tillwise.llm.textscan import give_back, mix, scan_words, slices
 from tillwise.plans.components import components
 from tillwise.plans.durable import written_once
 
@@ -116,6 +116,7 @@ def _scan_texts(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> It
     for batch in batches:
         for some in slices(batch, 1, _RUN, _RUN_BYTES):
             yield from _dealt(some.column(0), list(shingle_sets(some.column(1), words)), parts)
+        give_back()
 
 
 def _scan_sets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -156,6 +157,8 @@ def _count_shared(table: pa.Table) -> pa.Table:
     shared = np.bincount(owner[same], minlength=1)
     some = np.flatnonzero(shared)
     none = pa.nulls(len(some), pa.int64())
+    del token, owner, same
+    give_back()
     counted = pa.table([pa.array(runs[some // _RUN]), none, none, none, none, pa.array((some % _RUN).astype(np.int32)),
                         pa.array(shared[some])], schema=docs.schema)
     return pa.concat_tables([docs, counted])
@@ -169,6 +172,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(
                 [pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["fp", "fp2", "tokens"])
+        give_back()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ found in the column's byte buffer without decoding it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -79,6 +80,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: Spark uses workers again,
+    and one that waits should hold no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows, whose values in a text or binary
     column have about ``size`` bytes together, more only where one row has more."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.textscan import CHUNK_BYTES, slices
+from tillwise.llm.textscan import CHUNK_BYTES, give_back, slices
 from tillwise.plans.durable import written_once
 
 # Look-alikes of Latin letters in Cyrillic, Greek and other alphabets.
@@ -295,5 +295,6 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) ->
         for batch in batches:
             d = _density(matcher, batch, batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(d / (d + lexicon.level * 7 / 3) < threshold))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)
