@@ -186,15 +186,46 @@ def test_chat_round_trip(spark):
         body = r.piece
         for control in ("<s>", "</s>", "[INST]", "[/INST]"):
             assert body.count(control) <= 1
-    got = {r.conv_id: r for r in chat.conversation_digests(formatted).collect()}
-    mine = sorted((r for r in rows if r[0] == 4), key=lambda r: r[1])
-    assert got[4].turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
-    loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
-    assert (got[4].loss_chars, got[4].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert got[None].n_turns == 2
-    example = chat.example_texts(formatted, 10_000).filter("conv_id = 4").orderBy("position").collect()
-    pieces = [r.piece for r in formatted.filter("conv_id = 4").orderBy("position").collect()]
-    assert [e.text for e in example] == ["".join(pieces[:e.position]) for e in example]
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.examples(formatted)).collect()}
+    assert len(got) == 10
+    for c in range(9):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] or "", r[3] or ""))
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[c].n_turns, got[c].n_examples) == (len(mine), sum(r[2] == "assistant" for r in mine))
+    assert (got[None].n_turns, got[None].n_examples) == (2, 1)
+
+
+@pytest.mark.parametrize("share", [1, 300, 1 << 24])
+def test_chat_examples(spark, monkeypatch, share):
+    """Every reply has its whole context, however the work is dealt out."""
+    monkeypatch.setattr(chat, "SHARE_CHARS", share)
+    monkeypatch.setattr(chat, "_BATCH_CHARS", 200)
+    turns = [(1, t, ("user", "assistant")[t % 2], f"é{t} " * (t % 7)) for t in range(41)]
+    turns += [(2, 0, "assistant", None), (2, 0, "assistant", None), (3, 0, "user", "open"), (4, None, "assistant", "x" * 300_000)]
+    formatted = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    pieces = {c: [r.piece for r in formatted.filter(f"conv_id = {c}").orderBy("position").collect()] for c in (1, 2, 3, 4)}
+    got = sorted(chat.examples(formatted).collect(), key=lambda r: (r.conv_id, r.position))
+    assert [(r.conv_id, r.position) for r in got] == [*((1, p) for p in [*range(2, 42, 2), 41]), (2, 1), (2, 2), (3, 1), (4, 1)]
+    for r in got:
+        assert r.text == "".join(pieces[r.conv_id][:r.position]) and r.is_last == (r.position == len(pieces[r.conv_id]))
+        _, _, role, text = sorted(t for t in turns if t[0] == r.conv_id)[r.position - 1]
+        if role == "assistant":
+            assert r.text[r.loss_start:r.loss_end] == (text or "")
+        else:
+            assert r.is_last and r.loss_start is None and r.loss_end is None
+    totals = {r.conv_id: r for r in chat.conversation_digests(chat.examples(formatted)).collect()}
+    assert totals[1].example_chars == sum(len(r.text) for r in got if r.conv_id == 1 and r.loss_start is not None)
+    assert (totals[3].n_examples, totals[3].example_chars, totals[3].loss_chars) == (0, 0, 0)
+
+
+def test_chat_empty_table_and_clashing_names(spark):
+    schema = "conv_id long, turn long, role string, text string, piece string, `first` long, share long, Position long, is_last long"
+    none = chat.examples(chat.format_chat(spark.createDataFrame([], schema)))
+    assert none.count() == 0 and chat.conversation_digests(none).count() == 0
+    one = chat.examples(chat.format_chat(spark.createDataFrame([(1, 0, "assistant", "a", "p", 1, 2, 3, 4)], schema)))
+    assert [r.text for r in one.collect()] == [" a </s>"]
 
 
 def test_decontamination(spark, documents):

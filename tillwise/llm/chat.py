@@ -1,15 +1,16 @@
 """Chat formatting: every assistant turn is an example of its own, whose context is all
 turns before it and in which only that reply is trained on.
 
-The examples of a conversation are prefixes of one formatted string, so that string is
-stored once, a row per turn: an example is the row of its assistant turn, with where its
-context ends and which characters carry loss. That is linear in the input where copied
-contexts would be quadratic. ``example_texts`` writes examples out.
+``format_chat`` puts the turns in the template and numbers their characters, a row per
+turn; ``examples`` copies the contexts out, a row per assistant turn. Examples are as many
+characters as the method asks for: the sum of all prefixes. Their making is dealt out by
+that sum, so that a long conversation is expanded by many tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,11 @@ from pyspark.sql import functions as F
 USER = ("<s>[INST] ", " [/INST]")
 ASSISTANT = (" ", " </s>")
 OTHER = ("[ROLE ", "]", " [/ROLE]")
+#: Characters of examples that one task's share of a conversation has.
+SHARE_CHARS = 16 << 20
+#: Characters of examples that go on together.
+_BATCH_CHARS = 4 << 20
+_NAME, _ESCAPE = re.compile(r"(?:\]\\|[^\]])*"), re.compile(r"([<\[\\])\\")
 _CONTROL = r"<(?=/?s>)|\[(?=/?INST\]|/?ROLE[ \]])|\\"
 
 
@@ -93,53 +99,121 @@ def parsed(formatted: DataFrame) -> DataFrame:
         "loss_text": F.when(F.col("loss_start").isNotNull(), unescaped(masked))}).drop("_other")
 
 
-def example_texts(formatted: DataFrame, most_chars: int) -> DataFrame:
-    """Examples written out: conv_id, position, text, loss_start, loss_end, for assistant
-    turns whose example has at most ``most_chars`` characters, a bound of the model that
-    is to be trained. Longer ones stay in ``formatted``."""
-    target = formatted.filter(F.col("loss_start").isNotNull() & (
-        F.col("context_chars") + F.length("piece") <= most_chars)).select(
-        F.col("conv_id").alias("c"), F.col("position").alias("p"), F.col("loss_start").alias("s"), F.col("loss_end").alias("e"))
-    short = formatted.filter(F.col("context_chars") <= most_chars).select("conv_id", "position", "piece")
-    joined = short.join(target, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") <= F.col("p")))
-    pieces = F.array_sort(F.collect_list(F.struct("position", "piece")))
-    return joined.groupBy("c", "p", "s", "e").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text")).select(
-        F.col("c").alias("conv_id"), F.col("p").alias("position"), "text", F.col("s").alias("loss_start"), F.col("e").alias("loss_end"))
+def _rows(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), fields.values())], list(fields))
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per conversation from its turns in order, a turn at a time."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    state: list | None = None
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples from turns in order: the string so far is all that is kept."""
+    group, prefix, rows, held = None, "", [], 0
+    fields = {"conv_id": None, "position": pa.int64(), "text": pa.string(), "loss_start": pa.int64(), "loss_end": pa.int64(),
+              "is_last": pa.bool_()}
+    for batch in batches:
+        fields["conv_id"] = batch.schema.field(0).type
+        for conv, share, own, position, piece, start, end, last in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != (conv, share):
+                group, prefix = (conv, share), ""
+            prefix += piece
+            if own:
+                rows.append((conv, position, prefix, start, end, last))
+                held += len(prefix)
+                if held >= _BATCH_CHARS:
+                    yield _rows(rows, fields)
+                    rows, held = [], 0
+    if rows:
+        yield _rows(rows, fields)
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """The result of ``format_chat`` -> one row per assistant turn: conv_id, position, text,
+    loss_start, loss_end, is_last.
+
+    ``text`` is the formatted string from the conversation's first turn to that reply, and
+    only its characters from ``loss_start`` to before ``loss_end`` are trained on. A
+    conversation that ends in another role's turn has one row more, its whole string without
+    loss (null), a prompt still to be answered; so ``is_last`` marks one row of every
+    conversation, and that row holds all its turns.
+
+    Every example is made, however long. A conversation's examples are made in shares of
+    about ``SHARE_CHARS`` characters, and a share receives the turns up to its last example:
+    turns are copied less often than the examples themselves repeat them.
+    """
+    by_conversation = Window.partitionBy("conv_id")
+    earlier = by_conversation.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    chars = F.when(F.col("is_last") | F.col("loss_start").isNotNull(), F.col("context_chars") + F.length("piece"))
+    turns = (formatted.withColumn("is_last", F.col("position") == F.max("position").over(by_conversation))
+             .withColumn("chars", chars)
+             .withColumn("first", F.floor(F.coalesce(F.sum("chars").over(earlier), F.lit(0)) / SHARE_CHARS))
+             .withColumn("final", F.max("first").over(by_conversation))
+             .withColumn("share", F.explode(F.sequence("first", "final"))))
+    dealt = turns.repartition("conv_id", "share").sortWithinPartitions("conv_id", "share", "position").select(
+        "conv_id", "share", (F.col("chars").isNotNull() & (F.col("share") == F.col("first"))).alias("own"),
+        F.col("position").cast("long"), "piece", "loss_start", "loss_end", "is_last")
+    return dealt.mapInArrow(
+        _expanded, f"conv_id {kind}, position long, text string, loss_start long, loss_end long, is_last boolean")
+
+
+def read_turns(text: str) -> Iterator[tuple[str | None, str]]:
+    """Role and text of every turn of a formatted string, from the template alone."""
+    def plain(escaped_text: str) -> str:
+        return _ESCAPE.sub(r"\1", escaped_text)
+
+    at = 0
+    while at < len(text):
+        if text.startswith(USER[0], at):
+            role, start, after = "user", at + len(USER[0]), USER[1]
+        elif text.startswith(OTHER[0], at):
+            named = _NAME.match(text, at + len(OTHER[0]))
+            role = plain(named[0][1:].replace("]\\", "]")) if named[0] else None
+            start, after = named.end() + len(OTHER[1]) + 1, OTHER[2]
+        else:
+            role, start, after = "assistant", at + len(ASSISTANT[0]), ASSISTANT[1]
+        end = text.index(after, start)
+        yield role, plain(text[start:end])
+        at = end + len(after)
+
+
+_DIGESTS = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(),
+            "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_examples": pa.int64(), "example_chars": pa.int64()}
 
-    def done() -> pa.RecordBatch:
-        conv, n, turns, chars, loss, total = state
-        values = [[conv], [n], [turns.hexdigest()], [chars], [loss.hexdigest()], [total]]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per conversation from its examples in order, an example at a time; its last
+    row closes it."""
+    count = chars = total = 0
+    loss = hashlib.sha256()
     for batch in batches:
-        for conv, role, text, loss, size in zip(*(c.to_pylist() for c in batch.columns)):
-            if state is None or state[0] != conv:
-                if state is not None:
-                    yield done()
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            state[1] += 1
-            state[2].update(f"{role or ''}\n{text}\n".encode())
-            state[3] += len(loss or "")
-            state[4].update((loss or "").encode())
-            state[5] += size
-    if state is not None:
-        yield done()
-
-
-def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted turns say when they are read back: one row per conversation with
-    its turns, the SHA-256 of role, line feed, text, line feed per turn, characters and
-    SHA-256 of all text under the loss mask, and the length of the formatted string."""
-    turns = parsed(formatted).select("conv_id", "position", "found_role", "found_text", "loss_text",
-                                     F.length("piece").alias("chars"))
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return ordered.select(F.col("conv_id").cast("long"), "found_role", "found_text", "loss_text",
-                          F.col("chars").cast("long")).mapInArrow(
-        _digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        rows = []
+        for conv, reply, size, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            if reply is not None:
+                count, chars, total = count + 1, chars + len(reply), total + size
+                loss.update(reply.encode())
+            if whole is not None:
+                turns, n = hashlib.sha256(), 0
+                for role, text in read_turns(whole):
+                    turns.update(f"{role or ''}\n{text}\n".encode())
+                    n += 1
+                rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(whole), count, total))
+                count = chars = total = 0
+                loss = hashlib.sha256()
+        if rows:
+            yield _rows(rows, _DIGESTS)
+
+
+def conversation_digests(expanded: DataFrame) -> DataFrame:
+    """What the result of ``examples`` says when it is read back: one row per conversation
+    with its turns and the SHA-256 of role, line feed, text, line feed per turn, read from its
+    last row; characters and SHA-256 of the text that its examples train on, in order; the
+    length of its formatted string; the number of its examples and their characters.
+
+    A null role reads as empty. Null conv_id is a conversation of its own. An example's loss
+    is read from its own text; only the last row's text goes on to be put in order."""
+    text = F.col("text")
+    reply = unescaped(text.substr(F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    read = expanded.select(F.col("conv_id").cast("long"), "position",
+                           F.when(F.col("loss_start").isNotNull(), reply).alias("reply"),
+                           F.length(text).cast("long").alias("chars"), F.when(F.col("is_last"), text).alias("whole"))
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return ordered.select("conv_id", "reply", "chars", "whole").mapInArrow(
+        _digested, ", ".join(f"{name} {'string' if kind == pa.string() else 'long'}" for name, kind in _DIGESTS.items()))
