@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillwise.llm import chat, decontamination, jaccard_join, language, mixing, pii, secrets, toxicity, warc
 from tillwise.llm.exact_dedup import exact_dedup, without_duplicates
@@ -249,6 +250,74 @@ def test_decontamination(spark, documents):
     assert decontamination.contamination(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_one_run(spark, documents):
+    items = [(1, "What is the capital of Peru? Lima."), (2, "Name the largest ocean.\nPacific"), (3, "Zyzzyva"), (4, " ?! "), (5, None),
+             (6, "the capital of Peru is a long question that has many more words in it than the others.\nIndeed it has")]
+    texts = ["They ask: what is the CAPITAL of Peru?\nLima! And so on " + "word " * 500,
+             "The capital is Lima, of Peru, is what? the", "Name the largest ocean: Pacific", "name largest the ocean pacific",
+             "a zyzzyva is a beetle", "zyzzyvas", "", None, "filler " * 3000 + "name the largest ocean pacific"]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contamination(
+        documents(*texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 1), (2, 2), (4, 3), (8, 2)}
+    assert all(r.score == pytest.approx(1) and r.question_overlap == r.answer_overlap == 1 for r in got.values())
+    kept = decontamination.without_contaminated(documents(*texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7]
+
+
+def _brute_contamination(items, texts, threshold=0.6, question=0.6, answer=0.5, run_words=8, k1=1.2, b=0.75):
+    """Every passage against every item, with plain counters."""
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    parts = [[words(p) for p in item.split("\n")] for item in items]
+    whole = [q + a for q, a in parts]
+    mean, n = sum(map(len, whole)) / len(whole), len(whole)
+    df = Counter(w for x in whole for w in set(x))
+    weights = []
+    for x in whole:
+        part = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(x) / mean))
+                for w, tf in Counter(x).items()}
+        weights.append({w: v / sum(part.values()) for w, v in part.items()})
+    evidence = lambda x: {tuple(x[i:i + 3]) for i in range(len(x) - 2)} if len(x) >= 3 else {(w,) for w in x}
+    longest = max(map(len, whole))
+    step, found = max(8, longest // 2), {}
+    for d, text in enumerate(texts):
+        every = words(text)
+        for first in range(0, max(len(every) - step, 1), step):
+            passage = every[first:first + longest + step]
+            grams = evidence(passage) | {(w,) for w in passage}
+            for i, (q, a) in enumerate(parts):
+                score = sum(v for w, v in weights[i].items() if w in passage)
+                shares = [len(evidence(x) & grams) / len(evidence(x)) if x else 1.0 for x in (q, a)]
+                if len(whole[i]) < run_words:
+                    good = any(passage[k:k + len(whole[i])] == whole[i] for k in range(len(passage)))
+                else:
+                    good = score >= threshold - 1e-9 and shares[0] >= question and shares[1] >= answer
+                if good and (score, sum(shares)) > found.get((d, i), (0, 0))[:2]:
+                    found[d, i] = (score, sum(shares), first)
+    return found
+
+
+def test_contamination_equals_brute_force(spark, documents):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    some = lambda n: draw.choices(vocabulary, k=n)
+    items = [" ".join(some(draw.choice([1, 2, 4, 6, 9, 14, 30]))) + "\n" + " ".join(some(draw.choice([1, 2, 5]))) for _ in range(60)]
+    texts = []
+    for _ in range(160):
+        text = some(draw.randint(0, 120))
+        for item in draw.sample(items, 2):
+            copy = [w if draw.random() > 0.1 else draw.choice(vocabulary) for w in item.split()]
+            text[draw.randint(0, len(text)):0] = copy
+        texts.append(" ".join(text))
+    want = _brute_contamination(items, texts)
+    rows = decontamination.contamination(documents(*texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+                                         .select("item_id", F.substring_index("text", "\n", 1).alias("question"),
+                                                 F.substring_index("text", "\n", -1).alias("answer"))).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == set(want) and len(want) > 100
+    for r in rows:
+        score, shares, _ = want[r.doc_id, r.item_id]
+        assert r.score == pytest.approx(score) and r.question_overlap + r.answer_overlap == pytest.approx(shares)
+
+
 def test_block_bounds_lose_nothing():
     draw = random.Random(5)
     words = [f"w{i}" for i in range(200)]

@@ -7,10 +7,13 @@ threshold holds for all items and the score reads as the share of the item's wei
 that a passage covers. A passage is dropped as soon as bounds allow it, as in
 block-max WAND: if the largest scores of its terms do not add up to the threshold; then
 for each block, if the block's largest scores do not. Only items of blocks that are
-left are scored. The bounds are never below the score, so nothing is missed.
+left are scored. The bounds are never below the score, so nothing is missed. A passage's
+terms are bounded together, block by block; there is no pivot that moves along postings.
 
 Every item above the threshold is then verified: word trigrams of its question and of
-its answer have to occur in the passage.
+its answer have to occur in the passage. Items of few words share most of them with clean
+texts; they count only as one run of words, question and answer whole and in order. To be
+bounded like the others, their scores are scaled so that all their words make the threshold.
 """
 
 from __future__ import annotations
@@ -68,22 +71,27 @@ class Index(NamedTuple):
     block_score: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    runs: list[np.ndarray | None]  # words in order, of the items that must stand as one run
     longest: int  # words of the longest item
     rare: np.ndarray  # terms in few items
     screen: np.ndarray  # highest score of each rare term in each of SCREENS runs of items
     slack: np.ndarray  # most that the other terms can add for an item of the run
 
 
-def build_index(rows: list[tuple[int, str, str, dict[int, float]]], k1: float, b: float, mean: float) -> Index:
-    """``rows``: item_id, question, answer, and the inverse document frequency of its words."""
+def build_index(rows: list[tuple[int, str, str, dict[int, float]]], k1: float, b: float, mean: float,
+                threshold: float = 1.0, run_words: int = 0) -> Index:
+    """``rows``: item_id, question, answer, and the inverse document frequency of its words.
+    Items of fewer than ``run_words`` words reach ``threshold`` with all their words."""
     rows = sorted(rows, key=lambda r: (len(r[1]) + len(r[2]), r[0]))  # blocks of like lengths bound better
     questions, answers = _words([r[1] for r in rows]), _words([r[2] for r in rows])
+    words_in_order = [np.concatenate(x) for x in zip(questions, answers)]
+    whole = [w if len(w) < run_words else None for w in words_in_order]
     parts = []
     for i, row in enumerate(rows):
-        words, tf = np.unique(np.concatenate([questions[i], answers[i]]), return_counts=True)
+        words, tf = np.unique(words_in_order[i], return_counts=True)
         idf = np.array([row[3].get(w, 0.0) for w in words.view(np.int64).tolist()])
         part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * tf.sum() / mean))
-        parts.append((words, np.full(len(words), i), part / part.sum()))
+        parts.append((words, np.full(len(words), i), part / part.sum() * (1.0 if whole[i] is None else threshold)))
     word, item, score = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((item, word))
     word, item, score = word[order], item[order], score[order]
@@ -107,7 +115,7 @@ def build_index(rows: list[tuple[int, str, str, dict[int, float]]], k1: float, b
     return Index(np.array([r[0] for r in rows]), terms, lookup, np.maximum.reduceat(score, at[:-1]), at, item, score,
                  np.searchsorted(of, np.arange(len(terms) + 1)), key % (len(rows) // BLOCK + 1), block_score,
                  [_evidence(x) for x in questions], [_evidence(x) for x in answers],
-                 max(len(q) + len(a) for q, a in zip(questions, answers)), ~common, screen, slack)
+                 whole, max(map(len, words_in_order)), ~common, screen, slack)
 
 
 def _gathered(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -136,6 +144,15 @@ def _overlap(wanted: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(wanted, passage, assume_unique=True).mean()) if len(wanted) else 1.0
 
 
+def _has_run(run: np.ndarray, words: np.ndarray) -> bool:
+    """Whether ``words`` has the words of ``run`` one after the other."""
+    n = len(words) - len(run) + 1
+    same = np.ones(max(n, 0), bool)
+    for k, word in enumerate(run):
+        same &= words[k:k + len(same)] == word
+    return bool(same.any())
+
+
 def _hits(index: Index, column: pa.Array, threshold: float, question: float, answer: float
           ) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(row, item, score, question overlap, answer overlap, first word) of each row and item."""
@@ -167,6 +184,10 @@ def _hits(index: Index, column: pa.Array, threshold: float, question: float, ans
                 continue
             grams = np.union1d(words, _grams(found.hashes[first[p]:last[p]]))
             for i, score in zip(items.tolist(), scores.tolist()):
+                if index.runs[i] is not None:
+                    if not _has_run(index.runs[i], found.hashes[first[p]:last[p]]):
+                        continue
+                    score /= threshold
                 q, a = _overlap(index.questions[i], grams), _overlap(index.answers[i], grams)
                 key = (found.first + int(row[p]), i)
                 if q >= question and a >= answer and (key not in best or (score, q + a) > (best[key][0], sum(best[key][1:3]))):
@@ -211,15 +232,15 @@ def split_items(items: DataFrame) -> DataFrame:
         "item_id", F.expr("left(_t, length(_t) - length(answer))").alias("question"), "answer")
 
 
-def _indexes(items: DataFrame, min_words: int, k1: float, b: float) -> Iterator[Index]:
+def _indexes(items: DataFrame, threshold: float, run_words: int, k1: float, b: float) -> Iterator[Index]:
     """One index after the other, each of a bounded number of items; the statistics are
-    those of all items."""
+    those of all items that have a word."""
     if "question" not in items.columns:
         items = split_items(items)
     items = items.filter("item_id is not null").select(
         "item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     sized = items.withColumn("text", F.concat_ws(" ", "question", "answer"))
-    counted = sized.select("text").mapInArrow(_item_words, "size long, words array<long>").filter(F.col("size") >= min_words)
+    counted = sized.select("text").mapInArrow(_item_words, "size long, words array<long>").filter(F.col("size") > 0)
     n, mean = counted.agg(F.count("*"), F.avg("size")).first()
     if not n:
         return
@@ -232,21 +253,25 @@ def _indexes(items: DataFrame, min_words: int, k1: float, b: float) -> Iterator[
                  .select(F.explode("words").alias("word")).distinct().join(idf, "word").collect()}
         rows = [(r["item_id"], r["question"], r["answer"], words) for r in mine.select("item_id", "question", "answer").collect()]
         sizes = [len(w) for w in _words([f"{r[1]} {r[2]}" for r in rows])]
-        rows = [r for r, size in zip(rows, sizes) if size >= min_words]
+        rows = [r for r, size in zip(rows, sizes) if size]
         if rows:
-            yield build_index(rows, k1, b, mean)
+            yield build_index(rows, k1, b, mean, threshold, run_words)
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6,
-                  answer: float = 0.5, min_words: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+                  answer: float = 0.5, run_words: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``docs`` (doc_id, text), ``items`` (item_id, text or question and answer) -> one
     row per document and item found in it: doc_id, item_id, score, question_overlap,
     answer_overlap, first_word (of the best passage, from 0).
 
     Words are runs of letters, digits and characters beyond ASCII, lower-cased.
-    Items of fewer than ``min_words`` words are not looked for: a few common words prove
-    nothing. Null and empty texts contain nothing; a null item_id is left out. Rows with
-    the same doc_id are searched each. Other columns are not read.
+    An item of fewer than ``run_words`` words is found where its question and answer stand
+    word for word, one after the other; an item of one word, in every text with that word.
+    ``threshold`` is above 0. Null and empty texts contain nothing; an item without a word or
+    with a null item_id is left out. Rows with the same doc_id are searched each, and items
+    of the same text are each found. Of a text's passages with equal scores the first of
+    those with most overlap is given. Texts of any length are searched whole, in overlapping
+    passages. Other columns are not read.
 
     The items are the stated queries' side and broadcast in indexes of bounded size.
     """
@@ -256,17 +281,18 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.6, que
               "first_word long")
     limits = {"threshold": threshold, "question": question, "answer": answer}
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(items, min_words, k1, b):
+    for index in _indexes(items, threshold, run_words, k1, b):
         held = docs.sparkSession.sparkContext.broadcast(index)
         found = found.unionByName(only.mapInArrow(partial(_matched, held=held, **limits), schema))
     return found
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6,
-                         answer: float = 0.5, min_words: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+                         answer: float = 0.5, run_words: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` in which no item is found (see ``contamination``), with all their
+    columns, whatever they are called. Null and empty texts stay, repeated rows stay each."""
     limits = {"threshold": threshold, "question": question, "answer": answer}
-    for index in _indexes(items, min_words, k1, b):
+    for index in _indexes(items, threshold, run_words, k1, b):
         held = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.mapInArrow(partial(_clean, held=held, **limits), docs.schema)
     return docs
