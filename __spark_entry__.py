@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oracle_queries import (
     ALL_DAYS, AS_OF, CATEGORY_RULES, INSIGHT, KPI_DAYS, ORACLES, PERIODS, PRODUCT_ID, RULES, STOCK_AS_OF,
-    STORE_ID,
+    STORE_ID, VALUE_MODELS,
 )
 from tillwise.operators import customers as c
 from tillwise.operators import daily_kpis as d
@@ -19,7 +19,8 @@ from tillwise.operators import loading as l
 from tillwise.operators import recommend as r
 from tillwise.operators import sales as s
 from tillwise.operators import series_models as m
-from tillwise.plans.durable import new_path
+from tillwise.operators import value_model as v
+from tillwise.plans.durable import new_path, written_once
 from tillwise.sources.keyed import read_keyed
 from tillwise.sources.tables import RetailTables
 
@@ -64,6 +65,16 @@ def _kpis_of_days(spark: SparkSession, t: RetailTables) -> DataFrame:
     return _rounded(d.stored_kpis(spark, path, t.inventory, AS_OF, KPI_DAYS), 6, "value", "previous", "change")
 
 
+def _history(t: RetailTables) -> DataFrame:
+    return v.purchase_history(t.transaction_headers, AS_OF)
+
+
+def _value_model(t: RetailTables) -> DataFrame:
+    """A year ahead, by the model fitted to all customers."""
+    history = written_once(_history(t), "history")
+    return v.customer_value_model(history, v.fit_value_model(history))
+
+
 CUSTOMERS = {
     "rfm_metrics": _rfm,
     "rfm_codes": lambda t: c.rfm_codes(_rfm(t)),
@@ -78,6 +89,10 @@ CUSTOMERS = {
     "customer_kmeans": lambda t: c.customer_kmeans(_rfm(t)),
     "kmeans_summary": lambda t: c.kmeans_summary(c.customer_kmeans(_rfm(t))),
     "customer_value": lambda t: c.customer_value(t.transaction_headers, AS_OF),
+    "purchase_history": _history,
+    "customer_value_likelihood": lambda t: _rounded(
+        v.log_likelihoods(v.history_counts(_history(t)), VALUE_MODELS), 4, "log_likelihood"),
+    "customer_value_model": _value_model,
 }
 
 # -- sales and loading ----------------------------------------------------------

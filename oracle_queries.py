@@ -74,6 +74,15 @@ STOCK_NOW = f"timestamp '{STOCK_AS_OF}'"
 
 # -- customers -------------------------------------------------------------------
 
+# Parameters (r, alpha, a, b) under which the customers' likelihood is compared.
+VALUE_MODELS = [(1.0, 60.0, 0.8, 2.5), (0.3, 20.0, 2.0, 5.0), (5.0, 400.0, 0.1, 9.0)]
+
+HISTORY = f"""
+    select customer_id, count(distinct day) - 1 repeats, date_diff('day', min(day), max(day)) recency,
+           date_diff('day', min(day), cast({NOW} as date)) age, {_money('total_amount')} / count(total_amount) average_order_value
+    from (select *, cast(transaction_date as date) as day from transactions
+          where customer_id is not null and transaction_date <= {NOW}) group by customer_id"""
+
 RFM_WINDOW = f"""
     select customer_id, count(distinct transaction_id) frequency, {_money('total_amount')} monetary,
            {_days(NOW, 'max(transaction_date)')} recency
@@ -193,6 +202,17 @@ CUSTOMERS = {
                greatest({_days(NOW, 'min(transaction_date)')}, 1) as tenure
         from transactions where customer_id is not null group by customer_id"""),
 }
+CUSTOMERS["purchase_history"] = _with("transactions", HISTORY)
+CUSTOMERS["customer_value_likelihood"] = _with("transactions", """
+    select model, round(sum(lgamma(r + repeats) - lgamma(r) + r * ln(alpha)
+               + lgamma(a + b) + lgamma(b + repeats) - lgamma(b) - lgamma(a + b + repeats)
+               + alive + ln(1 + case when repeats > 0 then exp(gone - alive) else 0 end)), 4) log_likelihood
+    from (select *, -(r + repeats) * ln(alpha + age) alive,
+                 ln(a) - ln(b + greatest(repeats, 1) - 1) - (r + repeats) * ln(alpha + recency) gone
+          from history, models) group by model""", history=HISTORY,
+    models="select * from (values " + ", ".join(
+        f"(cast({i} as bigint), {', '.join(f'{x}::double' for x in m)})" for i, m in enumerate(VALUE_MODELS))
+    + ") m(model, r, alpha, a, b)")
 CUSTOMERS["load_customer_metrics"] = CUSTOMERS["customer_metrics"]
 CUSTOMERS["load_customer_metrics_keyed"] = CUSTOMERS["customer_metrics"]
 
