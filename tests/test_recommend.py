@@ -9,7 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 
+from pyspark.sql import functions as F
 from tillwise.operators import recommend as r
+from tillwise.plans import dealing
 
 AS_OF = "2024-07-01"
 LINES = "transaction_id long, product_id long, product_name string, category string"
@@ -210,6 +212,20 @@ def test_basket_lines(copurchase, rows):
     assert got == {1: 4, 2: 3, 3: 2, 5: 1}
 
 
+def test_tasks_of_all_time_follow_the_rows(spark, monkeypatch):
+    """Adaptive execution puts so few rows into one task."""
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    tx = spark.range(250).selectExpr("id transaction_id", "timestamp_ntz '2024-06-01' transaction_date")
+    items = spark.range(1_000).selectExpr("if(id % 9 = 8, null, id % 250) transaction_id", "id % 7 product_id")
+    products = spark.range(7).selectExpr("id product_id", "concat('p', id) name", "'c' category")
+    lines = r.basket_lines(items, tx, products, AS_OF, None)
+    by_task = [x["count"] for x in lines.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert sum(by_task) == 889 and max(by_task) < 200
+    whole = r._basket_items(lines, "product_name").withColumn("task", F.spark_partition_id())
+    assert whole.groupBy("basket").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+    assert whole.select("task").distinct().count() > 8
+
+
 def test_insights_count_categories_that_never_meet(spark, monkeypatch):
     lines = spark.createDataFrame([(i, i, f"n{i}", f"c{i % 12}") for i in range(36)],
                                   "transaction_id long, product_id long, product_name string, category string")

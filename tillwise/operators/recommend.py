@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import days_before, exact
+from ..plans.dealing import dealt
 from ..plans.durable import written_once
 from ..plans.pairs import item_pairs, mirrored, partners_of
 from ..plans.partners import best_partners
@@ -24,10 +25,15 @@ def _recent(transactions: DataFrame, as_of, days_back: int | None, *columns: str
 
 def basket_lines(items: DataFrame, transactions: DataFrame, products: DataFrame, as_of,
                  days_back: int | None = 90) -> DataFrame:
-    """Lines of the recent transactions with product name and category."""
+    """Lines of the recent transactions with product name and category.
+
+    All of time is dealt by transaction to as many tasks as the rows need; they are
+    counted when called. What goes on by transaction stays in these tasks."""
+    lines, recent = items.select("transaction_id", "product_id"), _recent(transactions, as_of, days_back)
+    if days_back is None:
+        lines, recent = dealt("transaction_id", lines, recent)
     return (
-        items.select("transaction_id", "product_id")
-        .join(_recent(transactions, as_of, days_back), "transaction_id")
+        lines.join(recent, "transaction_id")
         .join(products.select("product_id", F.col("name").alias("product_name"), "category"), "product_id")
         .select("transaction_id", "product_id", "product_name", "category")
     )
