@@ -215,6 +215,23 @@ def test_bounds_spare_large_groups():
     assert ids.tolist() == [2, 3, 4] and score.tolist() == [3, 3, 3] and 2 not in seen
 
 
+def test_lists_are_dealt_out_in_few_bytes(spark):
+    """Each list goes to as many blocks as it has members: two bytes for an id near the one before."""
+    lists = [[7, 8, 30_000], [-5, 40_000, 90_000], [-2**63, 0, 2**63 - 1], [3, 2**31, 2**32], [2**62, 2**62 + 1]]
+    packed = partners._packed(spark.createDataFrame([(x, [0]) for x in lists], "ids array<long>, blocks array<int>"))
+    assert partners._unpacked(packed.toArrow()).flatten().field("i").to_pylist() == sum(lists, [])
+    held = [next(name for name in partners._STEPS if r[name] is not None) for r in packed.collect()]
+    assert held == ["tiny", "mid", "wide", "wide", "tiny"]
+
+
+def test_best_partners_of_items_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(partners, "BLOCK_MEMBERS", 20)
+    of = [-2**63, -1, 0, 5, 70_000, 2**40, 2**63 - 1]
+    data = [(g, of[i % 7]) for g, i in _overlapping(9)]
+    df = spark.createDataFrame(data, "g string, i long").distinct()
+    assert _as_lists(best_partners(df, "g", "i", 3)) == _brute_partners(sorted({*data}), 3)
+
+
 def test_a_large_group_is_not_expanded(spark, monkeypatch):
     """4,000 items in one group would be 8 million pairs; k + 1 each are made."""
     monkeypatch.setattr(partners, "LARGE_GROUP", 1_000)

@@ -23,7 +23,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import written_once
@@ -39,6 +40,12 @@ BLOCK_MEMBERS = 1 << 20
 #: Members of an item from which bounds are worth their while.
 BOUND_FROM = 1 << 13
 
+#: An item's block is its id modulo the prime, times the factor, modulo both: no product
+#: passes 64 bits, and the tasks can tell their own items by it.
+_PRIME, _FACTOR = 2_147_483_647, 1_103_515_245
+#: Columns of which one holds a list's ids: as steps from one to the next, or whole.
+_STEPS = ("tiny", "mid", "wide")
+
 
 class _Lists:
     """The member lists of a block, end to end, each in order of ids."""
@@ -49,7 +56,6 @@ class _Lists:
         self.at = np.concatenate(([0], np.cumsum(np.asarray(members.value_lengths()))))
         self.id = np.asarray(flat.field("i"))
         self.weight, self.square = (np.asarray(flat.field(name)) if name in names else np.ones(len(flat)) for name in ("w", "square"))
-        self.block = np.asarray(flat.field("block").fill_null(-1))
         self.large, self.large_at = np.zeros(0, np.int64), np.zeros(len(flat) + 1, np.int64)
         if "large" in names:
             self.large = np.asarray(flat.field("large").flatten())
@@ -150,10 +156,28 @@ def _best_of_many(lists: _Lists, items: np.ndarray, groups: np.ndarray, places:
     return items[edges[own[best]]], partner[best], sums[best]
 
 
-def _best_of_block(table: pa.Table, k: int, cosine: bool) -> pa.Table:
-    lists = _Lists(table["all"].combine_chunks())
+def _unpacked(table: pa.Table) -> pa.ListArray:
+    """The lists that ``_packed`` made small."""
+    columns = {name: table[name].combine_chunks() for name in table.column_names}
+    size = sum(np.asarray(pc.fill_null(pc.list_value_length(columns[name]), 0), np.int64) for name in _STEPS)
+    at = np.concatenate(([0], np.cumsum(size)))
+    ids = np.zeros(at[-1], np.int64)
+    for name in _STEPS:
+        ids[np.repeat(np.asarray(columns[name].is_valid()), size)] = np.asarray(columns[name].flatten())
+    near = np.repeat(np.asarray(columns["wide"].is_null()), size)
+    sums = np.cumsum(np.where(near, ids, 0))
+    ids = np.where(near, sums + np.repeat(np.asarray(columns["first"]) - sums[at[:-1]], size), ids)
+    fields = {"i": pa.array(ids)} | {name: columns[name].flatten() for name in ("w", "square", "large") if name in columns}
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+
+
+def _best_of_block(table: pa.Table, blocks: int, k: int, cosine: bool) -> pa.Table:
+    lists = _Lists(_unpacked(table))
     group = np.repeat(np.arange(len(table)), np.diff(lists.at))
-    place = np.flatnonzero(lists.block == table["block"][0].as_py())
+    dealt = np.mod(np.mod(np.mod(lists.id, _PRIME) * _FACTOR, _PRIME), blocks) == table["block"][0].as_py()
+    if "heavy" in table.column_names:
+        dealt &= ~np.isin(lists.id, np.asarray(table["heavy"].combine_chunks().flatten()))
+    place = np.flatnonzero(dealt)
     place = place[np.argsort(lists.id[place], kind="stable")]
     group, item = group[place], lists.id[place]
     edges = np.flatnonzero(np.diff(item, prepend=item[:1] - 1))
@@ -178,6 +202,26 @@ def _best_of_block(table: pa.Table, k: int, cosine: bool) -> pa.Table:
     return pa.table({"a": a, "b": b, "score": score.astype(float)})
 
 
+def _block(item: Column, blocks: int) -> Column:
+    return F.pmod(F.pmod(F.pmod(item, F.lit(_PRIME)) * F.lit(_FACTOR), F.lit(_PRIME)), F.lit(blocks)).cast("int")
+
+
+def _packed(lists: DataFrame, *columns: str) -> DataFrame:
+    """The lists ``all`` in few bytes, because each goes to as many blocks as it has: ids as
+    the steps from one to the next, in the narrowest type that holds them, and the members'
+    other ``columns`` apart."""
+    last = F.size("ids") - 1
+    steps = F.zip_with(F.slice("ids", F.lit(2), last), F.slice("ids", F.lit(1), last), lambda b, a: F.try_subtract(b, a))
+    lists = lists.select("blocks", *columns, "ids", F.concat(F.array(F.lit(0).cast("long")), steps).alias("steps"))
+    near = F.coalesce(F.try_subtract(F.element_at("ids", -1), F.element_at("ids", 1)) < 1 << 31, F.lit(False))
+    tiny = near & (F.array_max("steps") < 1 << 15)
+    return lists.select(
+        "blocks", *columns, F.element_at("ids", 1).alias("first"),
+        F.when(tiny, F.col("steps").cast("array<smallint>")).alias("tiny"),
+        F.when(near & ~tiny, F.col("steps").cast("array<int>")).alias("mid"),
+        F.when(~near, F.col("ids")).alias("wide"))
+
+
 def _by_signature(signatures: DataFrame, k: int) -> DataFrame:
     """(a, b, score) of the best ``k`` by large groups alone: what they have in common.
 
@@ -235,14 +279,14 @@ def best_partners(df: DataFrame, group: str, item: str, k: int, weight: str | No
     met = rows.join(sizes.where(small), "g")
 
     blocks = max(1, -(-work // BLOCK_MEMBERS))
-    met = met.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     heavy = None
     if work > HEAVY_ITEM and most * rows.groupBy("i").count().agg(F.max("count")).first()[0] > HEAVY_ITEM:
         heavy = written_once(met.groupBy("i").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY_ITEM).select("i"), "heavy")
         heavy = None if heavy.isEmpty() else heavy.withColumn("heavy", F.lit(True))
     if heavy is not None:
-        met = met.join(heavy, "i", "left").withColumn("block", F.when(F.col("heavy").isNull(), F.col("block")))
-    lists = met.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(*own, "block"))).alias("all"))
+        met = met.join(heavy, "i", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+        own.append("heavy")
+    lists = met.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("all"))
     if heavy is not None:
         lists = written_once(lists, "members")
         of_heavy = met.where("heavy").select("g", F.struct(*own).alias("x")).join(lists, "g")
@@ -256,9 +300,16 @@ def best_partners(df: DataFrame, group: str, item: str, k: int, weight: str | No
         parts.append(rank(partners.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(
             score.cast("double").alias("score"))))
 
-    dealt = lists.select("all", F.explode(F.array_distinct("all.block")).alias("block")).where("block is not null")
+    light, apart = F.col("all"), [F.col(f"all.{name}").alias(name) for name in own if name not in ("i", "heavy")]
+    if heavy is not None:
+        light = F.filter("all", lambda x: ~x["heavy"])
+        apart.append(F.filter("all", lambda x: x["heavy"])["i"].alias("heavy"))
+    lists = lists.select(F.col("all.i").alias("ids"), *apart, F.array_distinct(
+        F.transform(light["i"], lambda i: _block(i, blocks))).alias("blocks"))
+    packed = _packed(lists, *(name for name in own if name != "i"))
+    dealt = packed.withColumn("block", F.explode("blocks")).drop("blocks")
     parts.append(dealt.groupBy("block").applyInArrow(
-        lambda table: _best_of_block(table, k, cosine), "a long, b long, score double"))
+        lambda table: _best_of_block(table, blocks, k, cosine), "a long, b long, score double"))
     found = reduce(DataFrame.unionByName, parts)
     # A partner may come from its signature and, with all that is shared, from its block.
     return rank(found.groupBy("a", "b").agg(F.max("score").alias("score"))) if large else found
