@@ -220,8 +220,7 @@ def test_lists_are_dealt_out_in_few_bytes(spark):
     lists = [[7, 8, 30_000], [-5, 40_000, 90_000], [-2**63, 0, 2**63 - 1], [3, 2**31, 2**32], [2**62, 2**62 + 1]]
     packed = partners._packed(spark.createDataFrame([(x, [0]) for x in lists], "ids array<long>, blocks array<int>"))
     assert partners._unpacked(packed.toArrow()).flatten().field("i").to_pylist() == sum(lists, [])
-    held = [next(name for name in partners._STEPS if r[name] is not None) for r in packed.collect()]
-    assert held == ["tiny", "mid", "wide", "wide", "tiny"]
+    assert [(r["width"], len(r["pieces"])) for r in packed.collect()] == [(1, 3), (2, 6), (5, 15), (5, 15), (1, 2)]
 
 
 def test_best_partners_of_items_far_apart(spark, monkeypatch):

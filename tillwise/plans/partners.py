@@ -23,7 +23,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,8 @@ BOUND_FROM = 1 << 13
 #: An item's block is its id modulo the prime, times the factor, modulo both: no product
 #: passes 64 bits, and the tasks can tell their own items by it.
 _PRIME, _FACTOR = 2_147_483_647, 1_103_515_245
-#: Columns of which one holds a list's ids: as steps from one to the next, or whole.
-_STEPS = ("tiny", "mid", "wide")
+#: Ids are sent in pieces of so many bits: one for a small step, more for others, or all of it.
+_BITS, _MORE, _ALL = 15, 2, 5
 
 
 class _Lists:
@@ -159,12 +158,15 @@ def _best_of_many(lists: _Lists, items: np.ndarray, groups: np.ndarray, places:
 def _unpacked(table: pa.Table) -> pa.ListArray:
     """The lists that ``_packed`` made small."""
     columns = {name: table[name].combine_chunks() for name in table.column_names}
-    size = sum(np.asarray(pc.fill_null(pc.list_value_length(columns[name]), 0), np.int64) for name in _STEPS)
+    pieces, width = np.asarray(columns["pieces"].flatten()).astype(np.int64), np.asarray(columns["width"]).astype(np.int64)
+    sent = np.asarray(columns["pieces"].value_lengths()).astype(np.int64)
+    size = sent // width
     at = np.concatenate(([0], np.cumsum(size)))
     ids = np.zeros(at[-1], np.int64)
-    for name in _STEPS:
-        ids[np.repeat(np.asarray(columns[name].is_valid()), size)] = np.asarray(columns[name].flatten())
-    near = np.repeat(np.asarray(columns["wide"].is_null()), size)
+    for n in np.unique(width):
+        of = pieces[np.repeat(width == n, sent)].reshape(-1, n)
+        ids[np.repeat(width == n, size)] = reduce(lambda high, low: (high << _BITS) + low, of.T)
+    near = np.repeat(width < _ALL, size)
     sums = np.cumsum(np.where(near, ids, 0))
     ids = np.where(near, sums + np.repeat(np.asarray(columns["first"]) - sums[at[:-1]], size), ids)
     fields = {"i": pa.array(ids)} | {name: columns[name].flatten() for name in ("w", "square", "large") if name in columns}
@@ -208,18 +210,23 @@ def _block(item: Column, blocks: int) -> Column:
 
 def _packed(lists: DataFrame, *columns: str) -> DataFrame:
     """The lists ``all`` in few bytes, because each goes to as many blocks as it has: ids as
-    the steps from one to the next, in the narrowest type that holds them, and the members'
-    other ``columns`` apart."""
+    the steps from one to the next, in as many pieces of 15 bits as they need, and the
+    members' other ``columns`` apart. Lists whose ids lie far apart keep them whole."""
     last = F.size("ids") - 1
     steps = F.zip_with(F.slice("ids", F.lit(2), last), F.slice("ids", F.lit(1), last), lambda b, a: F.try_subtract(b, a))
     lists = lists.select("blocks", *columns, "ids", F.concat(F.array(F.lit(0).cast("long")), steps).alias("steps"))
-    near = F.coalesce(F.try_subtract(F.element_at("ids", -1), F.element_at("ids", 1)) < 1 << 31, F.lit(False))
-    tiny = near & (F.array_max("steps") < 1 << 15)
-    return lists.select(
-        "blocks", *columns, F.element_at("ids", 1).alias("first"),
-        F.when(tiny, F.col("steps").cast("array<smallint>")).alias("tiny"),
-        F.when(near & ~tiny, F.col("steps").cast("array<int>")).alias("mid"),
-        F.when(~near, F.col("ids")).alias("wide"))
+    most, far = F.array_max("steps"), F.try_subtract(F.element_at("ids", -1), F.element_at("ids", 1)).isNull()
+
+    def pieces(numbers: str, n: int) -> Column:
+        return F.expr(f"flatten(transform({numbers}, x -> array(" + ", ".join(
+            f"cast(shiftright(x, {_BITS * p}){f' & {(1 << _BITS) - 1}' if p < n - 1 else ''} as smallint)"
+            for p in reversed(range(n))) + ")))")
+
+    width = F.when(far | (most >= 1 << _BITS * _MORE), _ALL).when(most >= 1 << _BITS, _MORE).otherwise(1)
+    return lists.select("blocks", *columns, "ids", "steps", width.cast("tinyint").alias("width")).select(
+        "blocks", *columns, F.element_at("ids", 1).alias("first"), "width",
+        F.when(F.col("width") == _ALL, pieces("ids", _ALL)).when(F.col("width") == _MORE, pieces("steps", _MORE))
+        .otherwise(F.col("steps").cast("array<smallint>")).alias("pieces"))
 
 
 def _by_signature(signatures: DataFrame, k: int) -> DataFrame:
