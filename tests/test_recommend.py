@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 from pyspark.sql import functions as F
 from tillwise.operators import recommend as r
-from tillwise.plans import dealing
+from tillwise.plans import dealing, pairs
 
 AS_OF = "2024-07-01"
 LINES = "transaction_id long, product_id long, product_name string, category string"
@@ -226,6 +226,28 @@ def test_tasks_of_all_time_follow_the_rows(spark, monkeypatch):
     assert whole.select("task").distinct().count() > 8
 
 
+def test_baskets_of_all_time_stay_in_their_tasks(spark, monkeypatch):
+    """Neither a join with many products nor the gathering of baskets or pairs deals them anew."""
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    tx = spark.range(250).selectExpr("id transaction_id", "timestamp_ntz '2024-06-01' transaction_date")
+    items = spark.range(1_000).selectExpr("if(id % 9 = 8, null, id % 250) transaction_id", "id % 7 product_id")
+    products = spark.range(7).selectExpr("id product_id", "concat('p', id) name", "concat('c', id % 3) category")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = r.basket_lines(items, tx, products, AS_OF, None)
+        rows = r._basket_items(lines, "category")
+        frequent = r._frequent(rows, F.lit(250), 0.1)
+        gathered = r._only_frequent(rows, frequent, 0.1).groupBy("basket").agg(F.collect_list("item").alias("items"))
+        met = pairs._meetings(rows, "basket", "item", F.lit(1), pairs.BLOCK)
+        for whole in (lines, rows, gathered, met):
+            by_task = [x["count"] for x in whole.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(by_task) > 8 and max(by_task) < sum(by_task) / 5
+        assert met.count() > 0 and gathered.count() == gathered.select("basket").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_insights_count_categories_that_never_meet(spark, monkeypatch):
     lines = spark.createDataFrame([(i, i, f"n{i}", f"c{i % 12}") for i in range(36)],
                                   "transaction_id long, product_id long, product_name string, category string")

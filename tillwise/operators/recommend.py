@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import days_before, exact
-from ..plans.dealing import dealt
+from ..plans.dealing import tasks_for
 from ..plans.durable import written_once
 from ..plans.pairs import item_pairs, mirrored, partners_of
 from ..plans.partners import best_partners
@@ -28,19 +28,25 @@ def basket_lines(items: DataFrame, transactions: DataFrame, products: DataFrame,
     """Lines of the recent transactions with product name and category.
 
     All of time is dealt by transaction to as many tasks as the rows need; they are
-    counted when called. What goes on by transaction stays in these tasks."""
+    counted when called. Products are joined before, so that what goes on by transaction
+    stays in these tasks, however many products there are."""
     lines, recent = items.select("transaction_id", "product_id"), _recent(transactions, as_of, days_back)
+    described = products.select("product_id", F.col("name").alias("product_name"), "category")
     if days_back is None:
-        lines, recent = dealt("transaction_id", lines, recent)
-    return (
-        lines.join(recent, "transaction_id")
-        .join(products.select("product_id", F.col("name").alias("product_name"), "category"), "product_id")
-        .select("transaction_id", "product_id", "product_name", "category")
-    )
+        tasks = tasks_for(lines, recent)
+        lines = lines.join(described, "product_id").repartition(tasks, "transaction_id")
+        joined = lines.join(recent.repartition(tasks, "transaction_id"), "transaction_id")
+    else:
+        joined = lines.join(recent, "transaction_id").join(described, "product_id")
+    return joined.select("transaction_id", "product_id", "product_name", "category")
 
 
 # -- association rules -------------------------------------------------------
 
+#: Support from which on the frequent items are sent to every task.
+LEAST_SUPPORT = 1e-4
+
+
 def _basket_items(baskets: DataFrame, item: str) -> DataFrame:
     return baskets.select(F.col("transaction_id").alias("basket"), F.col(item).alias("item")).distinct()
 
@@ -56,6 +62,13 @@ def _frequent(rows: DataFrame, n: Column, min_support: float) -> DataFrame:
     )
 
 
+def _only_frequent(rows: DataFrame, frequent: DataFrame, min_support: float) -> DataFrame:
+    """Rows of the frequent items, left where they are. Of these there are at most (mean
+    basket size / ``min_support``), few enough for every task unless that is tiny."""
+    items = frequent.select("item")
+    return rows.join(F.broadcast(items) if min_support >= LEAST_SUPPORT else items, "item", "left_semi")
+
+
 def pair_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5,
                item: str = "product_name") -> DataFrame:
     """Association rules between two single items.
@@ -65,7 +78,7 @@ def pair_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: fl
     """
     rows = _basket_items(baskets, item)
     frequent = _frequent(rows, rows.select(F.countDistinct("basket").alias("n")).scalar(), min_support)
-    kept = rows.join(frequent.select("item"), "item", "left_semi")
+    kept = _only_frequent(rows, frequent, min_support)
     both = mirrored(item_pairs(kept, "basket", "item").select("a", "b", "together"))
     support_of = lambda name: frequent.select(
         F.col("item").alias(name), F.col("support_count").alias(f"{name}_count"))
@@ -94,8 +107,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01,
     rows = _basket_items(baskets, item)
     n = rows.select(F.countDistinct("basket")).first()[0]
     frequent = _frequent(rows, F.lit(n), min_support)
-    arrays = rows.join(frequent.select("item"), "item", "left_semi").groupBy("basket").agg(
-        F.collect_list("item").alias("items"))
+    arrays = _only_frequent(rows, frequent, min_support).groupBy("basket").agg(F.collect_list("item").alias("items"))
     kept = arrays.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         filled = kept.count()

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 TASK_ROWS = 1 << 17
 
 
-def dealt(key: str, *frames: DataFrame) -> list[DataFrame]:
-    """Frames to be joined by ``key``, dealt alike by it. Their rows are counted when called."""
-    tasks = max(1, -(-sum(df.count() for df in frames) // TASK_ROWS))
-    return [df.repartition(tasks, key) for df in frames]
+def tasks_for(*frames: DataFrame) -> int:
+    """Tasks for the rows of all frames. They are counted when called."""
+    return max(1, -(-sum(df.count() for df in frames) // TASK_ROWS))

@@ -32,22 +32,26 @@ def _ordered():
 def _meetings(df: DataFrame, group: str, item: str, extra: Column, block: int) -> DataFrame:
     """``(x, y, wx, wy)`` once for every group in which two items meet.
 
-    A group with very many items is spread over as many join keys as it has
-    pairs of blocks: no task receives more than two blocks of it.
+    A group of up to ``block`` items is gathered and paired where its rows are. One with
+    more is spread over as many join keys as it has pairs of blocks: no task receives
+    more than two blocks of it.
     """
     rows = df.where(F.col(group).isNotNull()).select(
         F.col(group).alias("g"), F.col(item).alias("i"), extra.alias("w"))
     large = (rows.groupBy("g").count().where(F.col("count") > block)
              .select("g", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    rows = (rows.join(large, "g", "left")
-            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            .withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")))
-    left = rows.select("g", F.col("own").alias("lo"),
+    few = (rows.join(large, "g", "left_anti").groupBy("g").agg(F.collect_list(F.struct("i", "w")).alias("members"))
+           .select("members", F.inline("members").alias("x", "wx"))
+           .withColumn("later", F.filter("members", lambda other: F.col("x") < other["i"]))
+           .select("x", "wx", F.inline("later").alias("y", "wy")))
+    many = rows.join(large, "g").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    left = many.select("g", F.col("own").alias("lo"),
                        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"),
                        F.col("i").alias("x"), F.col("w").alias("wx"))
-    right = rows.select("g", F.explode(F.sequence(F.lit(0), "own")).alias("lo"),
+    right = many.select("g", F.explode(F.sequence(F.lit(0), "own")).alias("lo"),
                         F.col("own").alias("hi"), F.col("i").alias("y"), F.col("w").alias("wy"))
-    return left.join(right, ["g", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+    spread = left.join(right, ["g", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+    return few.unionByName(spread.select("x", "wx", "y", "wy"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
