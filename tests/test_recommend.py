@@ -75,6 +75,44 @@ def test_no_frequent_item(spark, baskets):
     assert r.association_rules(baskets.where("false"), 0.1, 0.1).count() == 0
 
 
+def test_only_items_of_frequent_pairs_enter_the_trees(spark, monkeypatch):
+    """Of twelve frequent items two are bought together often."""
+    lines = [(t, f"i{t % 10:02d}") for t in range(100)] + [(t, x) for t in range(0, 100, 4) for x in ("tea", "milk")]
+    lines = spark.createDataFrame([(t, 0, x, "c") for t, x in lines], LINES)
+    grown, seen = r.FPGrowth, []
+
+    class Seen(grown):
+        def fit(self, baskets):
+            seen.extend(tuple(sorted(x["items"])) for x in baskets.collect())
+            return super().fit(baskets)
+
+    monkeypatch.setattr(r, "FPGrowth", Seen)
+    sets = lambda support: {tuple(x["items"]): (x["freq"], x["n"]) for x in r.frequent_itemsets(lines, support).collect()}
+    singles = {(f"i{i:02d}",): (10, 100) for i in range(10)} | {("tea",): (25, 100), ("milk",): (25, 100)}
+    assert sets(0.1) == singles | {("milk", "tea"): (25, 100)} and seen == [("milk", "tea")] * 25
+    seen.clear()
+    assert sets(0.25) == {("tea",): (25, 100), ("milk",): (25, 100), ("milk", "tea"): (25, 100)}
+    seen.clear()
+    assert sets(0.26) == {} and seen == []
+    lines = lines.where("product_name != 'milk'")
+    assert sets(0.1) == {k: v for k, v in singles.items() if k != ("milk",)} and seen == []
+
+
+def test_baskets_of_frequent_pairs_stay_in_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    tx = spark.range(250).selectExpr("id transaction_id", "timestamp_ntz '2024-06-01' transaction_date")
+    items = spark.range(1_000).selectExpr("id % 250 transaction_id", "id % 7 product_id")
+    products = spark.range(7).selectExpr("id product_id", "concat('p', id) name", "'c' category")
+    gathered = r._gathered(r._basket_items(r.basket_lines(items, tx, products, AS_OF, None), "product_name")).persist()
+    try:
+        assert gathered.count() == 250
+        kept = r._only_partners(gathered, r._with_partner(gathered, 250, 0.1), 0.1)
+        by_task = [x["count"] for x in kept.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(by_task) > 8 and max(by_task) < sum(by_task) / 5
+    finally:
+        gathered.unpersist()
+
+
 def test_pair_rules_are_the_single_item_rules(baskets):
     got = {(x["antecedent"], x["consequent"]): x["lift"] for x in r.pair_rules(baskets, 0.2, 0.3).collect()}
     expected = {(a[0], b[0]): v[2] for (a, b), v in _brute_rules(0.2, 0.3).items() if len(a) == len(b) == 1}

@@ -95,33 +95,63 @@ def pair_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: fl
     )
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("basket").agg(F.collect_list("item").alias("items"))
+
+
+def _with_partner(gathered: DataFrame, n: int, min_support: float) -> DataFrame:
+    """``(item)`` of the frequent pairs; no other item is in an itemset of several. Pairs
+    are counted in the tasks that hold the baskets, then their counts are shuffled."""
+    later = F.filter("items", lambda other: F.col("a") < other)
+    return (
+        gathered.select("items", F.explode("items").alias("a")).select("a", F.explode(later).alias("b"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+        .where(F.col("together") / F.lit(n) >= min_support)
+        .select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    )
+
+
+def _only_partners(gathered: DataFrame, partners: DataFrame, min_support: float) -> DataFrame:
+    """Baskets of several items with a frequent partner, left where they are."""
+    rows = gathered.select("basket", F.explode("items").alias("item"))
+    return _gathered(_only_frequent(rows, partners, min_support)).where(F.size("items") > 1)
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01,
                       item: str = "product_name") -> DataFrame:
     """``(items, freq, n)``: sorted itemsets in at least ``min_support`` of the
     baskets, found by distributed FP-growth.
 
     Only frequent items enter the gathered baskets, so a basket's array holds at
-    most (mean basket size / ``min_support``) items. Mining runs when called; its
-    result is written once, as the rules read it three times.
+    most (mean basket size / ``min_support``) items. Only those of frequent pairs enter
+    the trees, which are held on the heap: the others are itemsets of one. Mining runs
+    when called; its result is written once, as the rules read it three times.
     """
     rows = _basket_items(baskets, item)
     n = rows.select(F.countDistinct("basket")).first()[0]
     frequent = _frequent(rows, F.lit(n), min_support)
-    arrays = _only_frequent(rows, frequent, min_support).groupBy("basket").agg(F.collect_list("item").alias("items"))
-    kept = arrays.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    gathered = _gathered(_only_frequent(rows, frequent, min_support)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = None
     try:
-        filled = kept.count()
-        if not filled:
-            return baskets.sparkSession.createDataFrame([], "items array<string>, freq bigint, n bigint")
-        # Baskets without frequent items are gone, so the threshold is restated
-        # against the rest, a hair low, and applied exactly afterwards.
-        reduced = min(1.0, max(0.0, (min_support * n - 0.5) / filled))
-        mined = FPGrowth(itemsCol="items", minSupport=reduced, minConfidence=1.0).fit(kept).freqItemsets
+        found = gathered.select(F.explode("items").alias("item")).groupBy("item").agg(
+            F.count(F.lit(1)).alias("freq")).select(F.array("item").alias("items"), "freq")
+        gathered.count()
+        partners = written_once(_with_partner(gathered, n, min_support), "partners")
+        if not partners.isEmpty():
+            kept = _only_partners(gathered, partners, min_support).select("items").persist(StorageLevel.MEMORY_AND_DISK)
+            # Baskets without frequent pairs are gone, so the threshold is restated
+            # against the rest, a hair low, and applied exactly afterwards.
+            reduced = min(1.0, max(0.0, (min_support * n - 0.5) / kept.count()))
+            mined = FPGrowth(itemsCol="items", minSupport=reduced, minConfidence=1.0).fit(kept).freqItemsets
+            found = found.unionByName(
+                mined.where(F.size("items") > 1).select(F.array_sort("items").alias("items"), "freq"))
         return written_once(
-            mined.select(F.array_sort("items").alias("items"), "freq", F.lit(n).cast("long").alias("n"))
+            found.select("items", "freq", F.lit(n).cast("long").alias("n"))
             .where(F.col("freq") / F.col("n") >= min_support))
     finally:
-        kept.unpersist()
+        gathered.unpersist()
+        if kept is not None:
+            kept.unpersist()
 
 
 def association_rules(baskets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5,
