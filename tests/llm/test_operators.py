@@ -6,12 +6,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tillwise.llm import chat, decontamination, jaccard_join, language, mixing, pii, secrets, toxicity, warc
 from tillwise.llm.exact_dedup import exact_dedup, without_duplicates
 from tillwise.llm.jaccard_join import jaccard_groups, one_per_group
+from tillwise.llm.sketch import among, bits
 
 from .conftest import DOCUMENTS, HARD
 
@@ -96,6 +98,58 @@ def test_jaccard_join_links(documents, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard_groups(documents(*rows)).collect()} == want
 
 
+def test_jaccard_join_passages_alone_make_no_cluster(documents, monkeypatch):
+    """Near copies in pairs, one of each pair with a passage of the next pair: what is compared
+    set by set, and so dealt out to pairs of blocks, does not grow to all that share a passage."""
+    held = {}
+    kept = jaccard_join.written_once
+    monkeypatch.setattr(jaccard_join, "written_once", lambda df, label="table": held.setdefault(label, kept(df, label))
+                        if label == "clusters" else kept(df, label))
+    draw = random.Random(9)
+    text = lambda n: ["".join(draw.choices("abcdefghij", k=9)) for _ in range(n)]
+    passages, rows = [text(14) for _ in range(12)], []
+    for i in range(12):
+        base = text(400)
+        rows += [base[:200] + passages[i] + base[214:300] + passages[i - 1] + base[314:], base]
+    got = {r.doc_id: r.component_id for r in jaccard_groups(documents(*[" ".join(row) for row in rows])).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+    assert [r["count"] for r in held["clusters"].groupBy("component").count().collect()] == [2] * 12
+
+
+def test_jaccard_join_many_copies(documents):
+    """Groups of more sets than are paired one by one, near the threshold."""
+    draw = random.Random(10)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(500)]
+    rows = ["one", "two", None]
+    for group in range(14):
+        base = draw.choices(words, k=draw.choice([6, 30, 90, 200]))
+        for _ in range(group):
+            text = list(base)
+            at = draw.randrange(len(text))
+            text[at:at + len(text) // draw.choice([8, 12, 30])] = draw.choices(words, k=len(text) // 12)
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(documents(*rows)).collect()}
+    assert got == _brute_groups(rows)
+
+
+def test_parities_never_differ_more_than_sets():
+    draw = np.random.default_rng(3)
+    for size in (1, 5, 40, 300, 5000, 90_000):
+        x = np.unique(draw.integers(0, 1 << 63, size, np.uint64))
+        for share in (1.0, 0.9, 0.5, 0.0):
+            y = np.unique(np.concatenate([x[:int(share * size)], draw.integers(0, 1 << 63, draw.integers(1, 2 * size + 1), np.uint64)]))
+            apart = jaccard_join._differing(jaccard_join._parity(x), jaccard_join._parity(y))
+            assert apart <= len(np.setxor1d(x, y))
+            assert apart == jaccard_join._differing(jaccard_join._parity(y), jaccard_join._parity(x))
+
+
+def test_bits_hold_their_keys(spark):
+    held = bits(spark.createDataFrame([(None, 5), (0, 6), (7, -1), (-7, 1 << 62)], "doc_id long, fp long"))
+    ids, hashes = pa.array([None, 0, 7, -7, None, 0, 7, 8]), np.array([5, 6, -1, 1 << 62, 6, 5, -2, -1])
+    assert among(held, ids, hashes).tolist() == [True] * 4 + [False] * 4
+
+
 def test_jaccard_join_hard_rows(documents):
     docs = documents(*HARD)
     got = jaccard_groups(docs)

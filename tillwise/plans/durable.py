@@ -37,3 +37,9 @@ def written_once(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets the shuffle files of jobs that are done go now: Spark removes them once the driver
+    has collected its garbage, which a driver with room left may not do for hours."""
+    spark.sparkContext._jvm.System.gc()
